@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import fingerprints, mixing
+from tallyloom.llm import chat, fingerprints, mixing, secrets, tokens
 
 QUERIES = {
+    "op2_secret_ownership": secrets.query,
     "op5_mix_sources": mixing.query,
     "op7_merkle_fingerprints": fingerprints.query,
+    "op8_chat_collapse": chat.query,
+    "op9_token_counts": tokens.query,
 }
 
 ORACLES = {
     "op5_mix_sources": mixing.ORACLE,
     "op7_merkle_fingerprints": fingerprints.ORACLE,
+    "op8_chat_collapse": chat.ORACLE,
 }
