@@ -87,11 +87,12 @@ def edited_likeness(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """Fingerprints of each text, of the text with its last half replaced by the next document's start, and how alike
     they are.  One exchange of the texts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("m", merkle(F.col("text")))
-    near = with_next(rows, "doc_id", ["text", "m"], "text").withColumn("n_chars", F.length("text").cast("long"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    near = with_next(rows, "doc_id", ["text"], "text").withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = near.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half)))
-    e = edited.select("doc_id", "n_chars", "m", "next_m", F.sha2(F.col("edited"), 256).alias("edited_sha256"), merkle(F.col("edited")).alias("e"))
+    # trees are made after the exchange: hashes don't compress, and making them again costs less than moving them
+    e = edited.select("doc_id", "n_chars", merkle(F.col("text")).alias("m"), merkle(F.col("next_text")).alias("next_m"), F.sha2(F.col("edited"), 256).alias("edited_sha256"), merkle(F.col("edited")).alias("e"))
     return e.select(
         "doc_id", "n_chars", "edited_sha256", F.col("m.fingerprint").alias("fingerprint"), F.col("e.fingerprint").alias("edited_fingerprint"),
         likeness(F.col("m"), F.col("e")).alias("near_edited"), likeness(F.col("m"), F.col("next_m")).alias("near_next"),
