@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import chat, fingerprints, mixing, secrets, tokens
+from tallyloom.llm import chat, decontam, fingerprints, mixing, secrets, tokens
 
 QUERIES = {
     "op2_secret_ownership": secrets.query,
+    "op4_cgk_decontamination": decontam.query,
     "op5_mix_sources": mixing.query,
     "op7_merkle_fingerprints": fingerprints.query,
     "op8_chat_collapse": chat.query,
