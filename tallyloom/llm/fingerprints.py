@@ -66,7 +66,7 @@ def with_next(rows: DataFrame, key: str, carry: list[str], tie: str) -> DataFram
     spark = rows.sparkSession
     at = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
     n = max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    lows = sorted(r[0] for r in rows.select(at.alias("k")).repartitionByRange(n, "k").groupBy(F.spark_partition_id()).agg(F.min("k")).collect())
+    lows = sorted(r[0] for r in rows.select(at.alias("k")).repartitionByRange(n, "k").withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.min("k")).collect())
     if not lows:
         lows = [0]
     ends, steps = F.from_json(F.lit(json.dumps(lows)), "array<bigint>"), max(1, len(lows).bit_length())
