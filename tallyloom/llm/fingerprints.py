@@ -59,14 +59,15 @@ def with_next(rows: DataFrame, key: str, carry: list[str], tie: str) -> DataFram
     """Adds ``next_<c>`` for each column of ``carry``: its value in the row that follows by ``key`` (a long).
 
     A global window would put all rows into one task.  Here a scan of the keys alone finds ranges of about as
-    many rows each; every row goes to its range in one exchange, the first rows of a range also to the range
+    many rows each (approximate quantiles, merged from a bounded sketch per task); every row goes to its range in one exchange, the first rows of a range also to the range
     before (the first of all to the last range), and lead() runs within ranges.  The ranges' lower ends are the
     only thing on the driver: a few longs for each shuffle partition.
     """
     spark = rows.sparkSession
     at = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
     n = max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    lows = sorted(r[0] for r in rows.select(at.alias("k")).repartitionByRange(n, "k").withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.min("k")).collect())
+    got = rows.select(at.alias("k")).agg(F.min("k").alias("low"), F.percentile_approx("k", [i / n for i in range(1, n)], 8 * n).alias("q")).first()
+    lows = sorted({got.low, *got.q}) if got.q else []
     if not lows:
         lows = [0]
     ends, steps = F.from_json(F.lit(json.dumps(lows)), "array<bigint>"), max(1, len(lows).bit_length())
