@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import chat, decontam, fingerprints, mixing, secrets, tokens
+from tallyloom.llm import chat, decontam, fingerprints, mixing, quality, secrets, tokens
 
 QUERIES = {
+    "op1_importance_resampling": quality.query,
     "op2_secret_ownership": secrets.query,
     "op4_cgk_decontamination": decontam.query,
     "op5_mix_sources": mixing.query,
