@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import chat, decontam, fingerprints, mixing, quality, secrets, tokens
+from tallyloom.llm import chat, decontam, fingerprints, mixing, neardup, quality, secrets, tokens
 
 QUERIES = {
     "op1_importance_resampling": quality.query,
     "op2_secret_ownership": secrets.query,
     "op4_cgk_decontamination": decontam.query,
     "op5_mix_sources": mixing.query,
+    "op6_bagminhash_neardup": neardup.query,
     "op7_merkle_fingerprints": fingerprints.query,
     "op8_chat_collapse": chat.query,
     "op9_token_counts": tokens.query,
@@ -16,6 +17,7 @@ QUERIES = {
 
 ORACLES = {
     "op5_mix_sources": mixing.ORACLE,
+    "op6_bagminhash_neardup": neardup.query,
     "op7_merkle_fingerprints": fingerprints.ORACLE,
     "op8_chat_collapse": chat.ORACLE,
 }

@@ -142,3 +142,25 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def lowered(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(pc.fill_null(column, ""))
+
+
+# --- classes ---------------------------------------------------------------------------------------
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of edges (a, b): one row per node with its component's least node as ``label``.
+
+    Each round a node takes the least label among its own, its neighbours' and that of the node its label names (so labels
+    travel twice as far each round).  Minima are combined before they move, so a node with very many neighbours is one row per task.
+    Labels are written each round and stay on the executors' side; rounds end when no label changes.
+    """
+    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
+        new = labels.join(near, "node").join(jump, "label", "left").select("node", F.col("label").alias("old"), F.least("label", "near", "jump").alias("label"))
+        new = written(new, "labels")
+        if new.where("label != old").isEmpty():
+            return new.select("node", "label")
+        labels = new.select("node", "label")
