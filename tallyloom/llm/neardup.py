@@ -10,11 +10,12 @@ and a component's earliest point is equal in two texts with probability sum(min)
 
 Texts with equal multisets are one node from then on.  Nodes share a bucket if one of ``BANDS`` bands of ``ROWS`` components agrees: at
 similarity 0.8 all bands fail with probability 2e-4.  In each bucket all nodes are compared with one leader, the node with the most
-neighbours in its buckets, so a group of n copies costs n comparisons and not n * n.  1 - similarity is a metric; so of the pairs that are then left in
-different classes, only those need to be compared, and are, whose distances to the leader differ by no more than the permitted
-distance, and whose sizes do by no more than its factor.  No bucket is capped.  Classes are the connected components of verified pairs.
+neighbours in its buckets, so a group of n copies costs n comparisons and not n * n.  Of the pairs of a bucket that are then left in different classes,
+those are compared that can still be similar enough: 1 - similarity is a metric, so their distances to the leader differ by no more than the permitted
+distance; and shingles that no other text of these buckets has can't be shared, so what is left of the smaller text must do.  No bucket is
+capped, and nothing that could be a link is left out.  Classes are the connected components of verified pairs.
 
-Texts move twice at most, those of nodes with a bucket in common, and never for exact copies.  Tables in between are narrow and
+Only texts of nodes with a bucket in common move, and never those of exact copies.  Tables in between are narrow and
 written to the shared folder; neither pairs nor labels reach the driver.
 
 Nulls and edges: a null text is empty; texts without words are one class; repeated rows are exact copies; a null id belongs to its class, whose
@@ -164,15 +165,15 @@ def signed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact weighted Jaccard similarity of columns text_a and text_b; rows of one text_b that follow each other share its shingles."""
+    """Exact weighted Jaccard similarity of columns text_a and text_b; a batch's equal texts share their shingles."""
     for batch in batches:
-        sims = []
         kept: dict[str, tuple] = {}
-        a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        for x, y in zip(a, b, strict=True):
-            if y not in kept:
-                kept = {y: _multiset(y)}
-            sims.append(_similarity(_multiset(x), kept[y]))
+        sims = []
+        for pair in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for text in pair:
+                if text not in kept:
+                    kept[text] = _multiset(text)
+            sims.append(_similarity(kept[pair[0]], kept[pair[1]]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], ["a", "b", "sim"])
 
 
@@ -198,15 +199,21 @@ def _similarity(a: tuple, b: tuple) -> float:
     return both / (total - both)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """``pairs`` (a, b) with their similarity.  ``nodes`` has a row of ``docs`` for each node."""
+def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """node, text of the wanted nodes (column node), from the row of ``docs`` that stands for each; written.  The list of rows is broadcast up to
+    ``BROADCAST_ROWS`` (8 bytes each), so that other texts don't move; a longer one is joined by an exchange."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "row"), "node")
-    wanted = written(wanted, "neardup-wanted")
+    listed = written(wanted.join(nodes.select("node", "row"), "node"), "neardup-wanted")
     rows = docs.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("row"), text.alias("text"))
+    keys = listed.select("row").distinct()
+    if keys.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(keys), "row", "left_semi")
     # repeated rows have one hash: a single one of them is wanted
-    texts = rows.join(wanted, "row").groupBy("node").agg(F.first("text").alias("text"))
-    texts = written(texts, "neardup-texts")
+    return written(rows.join(listed, "row").groupBy("node").agg(F.first("text").alias("text")), "neardup-texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with their similarity."""
     both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_overlap, "a binary, b binary, sim double")
 
@@ -222,15 +229,15 @@ def links(docs: DataFrame, rows: DataFrame, *, threshold: float = 0.8, id_col: s
     ranked = cells.join(reach, "node")
     leaders = ranked.groupBy("bucket").agg(F.max_by(F.struct("node", "size"), F.struct("reach", "node")).alias("l")).select("bucket", F.col("l.node").alias("leader"), F.col("l.size").alias("leader_size"))
     cells = written(cells.join(leaders, "bucket"), "neardup-led")
-    near = lambda x, y: F.least(x, y) >= F.lit(threshold) * F.greatest(x, y) - 1e-9
-    pairs = cells.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    first = written(verified(written(pairs, "neardup-pairs"), nodes, docs, id_col=id_col, text_col=text_col), "neardup-first")
+    pairs = written(cells.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "neardup-pairs")
+    texts = texts_of(cells.select("node").distinct(), nodes, docs, id_col=id_col, text_col=text_col)
+    first = written(verified(pairs, texts), "neardup-first")
     found = first.where(F.col("sim") >= threshold)
     classes = components(found.select("a", "b"))
     # what is left: nodes of one bucket in different classes, of which one at least isn't linked to the leader
+    near = lambda x, y: F.least(x, y) >= F.lit(threshold) * F.greatest(x, y) - 1e-9
     known = cells.where("node != leader").join(first.withColumnsRenamed({"a": "node", "b": "leader"}), ["node", "leader"]).select("bucket", "node", "size", (1 - F.col("sim")).alias("d"))
-    known = known.join(classes, "node", "left").select("bucket", "node", "size", "d", F.coalesce("label", "node").alias("label"))
-    known = written(known, "neardup-known")
+    known = written(known.join(classes, "node", "left").select("bucket", "node", "size", "d", F.coalesce("label", "node").alias("label")), "neardup-known")
     far = known.where(F.col("d") > 1 - threshold)
     x, y = far.alias("x"), known.alias("y")
     open_pairs = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where(
@@ -241,7 +248,7 @@ def links(docs: DataFrame, rows: DataFrame, *, threshold: float = 0.8, id_col: s
     second = written(open_pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "neardup-open")
     if second.isEmpty():
         return nodes, found
-    more = written(verified(second, nodes, docs, id_col=id_col, text_col=text_col), "neardup-second").where(F.col("sim") >= threshold)
+    more = written(verified(second, texts), "neardup-second").where(F.col("sim") >= threshold)
     return nodes, found.unionByName(more)
 
 
