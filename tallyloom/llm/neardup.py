@@ -218,6 +218,22 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_overlap, "a binary, b binary, sim double")
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi, data, offsets in text_slices(lowered(batch.column(1))):
+            words, _, first = words_of(data, offsets)
+            text, shingle, weight = shingles_of(words, first)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(text)), pa.array(shingle.view(np.int64)), pa.array(weight.astype(np.int64))], ["key", "shingle", "weight"])
+
+
+def own_weight(texts: DataFrame) -> DataFrame:
+    """node, own: the weight of a text's shingles that no other one of these texts has."""
+    rows = texts.select(F.xxhash64("node").alias("key"), "text").mapInArrow(_exploded, "key bigint, shingle bigint, weight bigint")
+    single = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min("weight").alias("weight")).where("n = 1")
+    own = single.groupBy("key").agg(F.sum("weight").alias("own"))
+    return texts.select("node", F.xxhash64("node").alias("key")).join(own, "key", "left").select("node", F.coalesce("own", F.lit(0)).alias("own"))
+
+
 def links(docs: DataFrame, rows: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(nodes, links): a row of ``docs`` for each node, and the verified links a, b, sim between nodes of different texts."""
     nodes = written(rows.groupBy("node").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("row"), F.min("id").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands")), "neardup-nodes")
@@ -234,18 +250,28 @@ def links(docs: DataFrame, rows: DataFrame, *, threshold: float = 0.8, id_col: s
     first = written(verified(pairs, texts), "neardup-first")
     found = first.where(F.col("sim") >= threshold)
     classes = components(found.select("a", "b"))
-    # what is left: nodes of one bucket in different classes, of which one at least isn't linked to the leader
-    near = lambda x, y: F.least(x, y) >= F.lit(threshold) * F.greatest(x, y) - 1e-9
+    # what is left: buckets with nodes of several classes; who isn't linked to the leader there may be to another one
     known = cells.where("node != leader").join(first.withColumnsRenamed({"a": "node", "b": "leader"}), ["node", "leader"]).select("bucket", "node", "size", (1 - F.col("sim")).alias("d"))
-    known = written(known.join(classes, "node", "left").select("bucket", "node", "size", "d", F.coalesce("label", "node").alias("label")), "neardup-known")
-    far = known.where(F.col("d") > 1 - threshold)
-    x, y = far.alias("x"), known.alias("y")
+    known = known.join(classes, "node", "left").select("bucket", "node", "size", "d", F.coalesce("label", "node").alias("label"))
+    several = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
+    known = written(known.join(several, "bucket", "left_semi"), "neardup-known")
+    own = written(own_weight(texts.join(known.select("node").distinct(), "node", "left_semi")), "neardup-own")
+    # "most": what a node can share with any other one; whom it can't link to even so is left out
+    own = own.join(nodes.select("node", "bands"), "node")
+    known = written(known.join(own, "node").select("bucket", "node", "size", "d", "label", "bands", (F.col("size") - F.col("own")).alias("most")), "neardup-open-nodes")
+    reached = known.where((F.col("most") >= F.lit(threshold) * F.col("size") - 1e-9))
+    far = reached.where(F.col("d") > 1 - threshold)
+    x, y = far.alias("x"), reached.alias("y")
+    most = F.least("x.most", "y.most")
     open_pairs = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where(
-        (F.col("x.label") != F.col("y.label")) & (F.abs(F.col("x.d") - F.col("y.d")) <= 1 - threshold + 1e-9) & near(F.col("x.size"), F.col("y.size"))
+        (F.col("x.label") != F.col("y.label")) & (F.abs(F.col("x.d") - F.col("y.d")) <= 1 - threshold + 1e-9)
+        & (most >= F.lit(threshold) * (F.col("x.size") + F.col("y.size") - most) - 1e-9)
         # of two far nodes one order is enough
         & ((F.col("y.d") <= 1 - threshold) | (F.col("x.node") < F.col("y.node")))
+        # of the buckets that both are in, the least one has the pair
+        & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.bucket"))
     )
-    second = written(open_pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "neardup-open")
+    second = written(open_pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), "neardup-open")
     if second.isEmpty():
         return nodes, found
     more = written(verified(second, texts), "neardup-second").where(F.col("sim") >= threshold)
