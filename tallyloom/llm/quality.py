@@ -109,6 +109,9 @@ def strata(labels: DataFrame, max_labels: int, *, id_col: str = "doc_id") -> tup
     rows = labels.where(F.col("quality").isNotNull() & F.col("toxic").isNotNull())
     stratum = F.when(F.col("quality").cast("int") == 0, 1).when(F.col("toxic").cast("int") == 1, 2).otherwise(0)
     rows = rows.groupBy(_key(F.col(id_col)).alias("k")).agg(F.max(F.when(stratum == 1, 3).otherwise(stratum)).alias("s"))
+    # a first cut by hash keeps what each task hands on small, however many labels there are
+    share = min(1.0, 1.2 * max_labels / max(rows.count(), 1))
+    rows = rows.where(F.pmod(F.xxhash64("k"), F.lit(1 << 32)) < F.lit(int(share * (1 << 32))))
     got = rows.orderBy(F.xxhash64("k"), "k").limit(max_labels).toArrow()
     keys, which = got["k"].to_numpy(), got["s"].to_numpy().astype(np.int64)
     which = np.where(which == 3, 1, which)
@@ -184,7 +187,7 @@ def _ratios(mass: np.ndarray):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 1_000_000) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 200_000) -> dict:
     """The model: strata's shares and, for each bucket that tells, the log ratios to the target model."""
     sc = docs.sparkSession.sparkContext
     held = sc.broadcast(strata(labels, max_labels))
@@ -269,7 +272,7 @@ def threshold(keys: DataFrame, k: int, bins: int = 4096) -> float:
     return lo if lo is not None else float("inf")
 
 
-def weights(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 1_000_000, seed: int = 0, temperature: float = 0.1, least_posterior: float = 0.05) -> DataFrame:
+def weights(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 200_000, seed: int = 0, temperature: float = 0.1, least_posterior: float = 0.05) -> DataFrame:
     """One row per row of ``docs``: doc_id, log_weight, gumbel_key, keep."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col, max_labels=max_labels)
     rows = written(weighed(docs, model, id_col=id_col, text_col=text_col, seed=seed, temperature=temperature, least_posterior=least_posterior), "quality-weights")
@@ -277,7 +280,7 @@ def weights(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
     return rows.select(F.col("_id").alias("doc_id"), F.col("_log_weight").alias("log_weight"), F.col("_key").alias("gumbel_key"), (F.col("_key") >= F.lit(least)).alias("keep"))
 
 
-def keep(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 1_000_000, seed: int = 0, temperature: float = 0.1, least_posterior: float = 0.05) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 200_000, seed: int = 0, temperature: float = 0.1, least_posterior: float = 0.05) -> DataFrame:
     """``docs`` without the rejected rows.  Rows are weighed once for the threshold and once as they pass: no join, no shuffle of texts."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col, max_labels=max_labels)
     at = {"id_col": id_col, "text_col": text_col, "seed": seed, "temperature": temperature, "least_posterior": least_posterior}
