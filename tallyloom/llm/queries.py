@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_secret_ownership": secrets.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
     "op7_merkle_fingerprints": fingerprints.ORACLE,
     "op8_chat_collapse": chat.ORACLE,

@@ -149,3 +149,31 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
 
 def query(spark, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _sql_spans(kind: int, group: int = 0) -> str:
+    """List of structs of the matches of kind number ``kind``, of columns p, w and v with its number."""
+    before = f"coalesce(list_sum(list_transform(p{kind}[1:i], lambda z: len(z))), 0) + coalesce(list_sum(list_transform(w{kind}[1:i - 1], lambda z: len(z))), 0)"
+    value = f"v{kind}[i]" if group else f"w{kind}[i]"
+    return f"list_transform(w{kind}, lambda w, i: {{'s': ({before})::INT, 'k': {kind}, 'e': ({before} + len(w))::INT, 'v': {value}}})"
+
+
+def _sql_text(spans: str) -> str:
+    return f"coalesce(array_to_string(list_transform(list_sort({spans}), lambda x: ['assign', 'access', 'hex', 'wide'][x.k + 1] || ':' || x.s || ':' || x.e), ','), '')"
+
+
+_PATTERNS = [p.replace("'", "''") for p in (ASSIGN, ACCESS, HEX, WIDE)]
+ORACLE = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),
+m AS (SELECT doc_id, source, rid, {", ".join(f"string_split_regex(t, '{p}') AS p{k}, regexp_extract_all(t, '{p}') AS w{k}" for k, p in enumerate(_PATTERNS))}, regexp_extract_all(t, '{_PATTERNS[0]}', 2) AS v0 FROM d),
+f AS (SELECT doc_id, source, rid, list_filter({_sql_spans(0, 2)}, lambda x: len(x.v) >= 8) AS a, {_sql_spans(1)} AS b, {_sql_spans(2)} AS c, {_sql_spans(3)} AS wide FROM m),
+g AS (SELECT *, list_concat(list_concat(a, b), c) AS base FROM f),
+h AS (SELECT *, list_filter(wide, lambda x: ((regexp_matches(x.v, '[0-9]') AND regexp_matches(x.v, '[a-z]') AND regexp_matches(x.v, '[A-Z]')) OR regexp_matches(x.v, '^[0-9A-F]{{32,}}$') OR contains(x.v, 'PRIVATE KEY-----'))
+  AND len(list_filter(base, lambda y: y.s < x.e AND x.s < y.e)) = 0) AS extra FROM g),
+e AS (SELECT rid, source, unnest(list_concat(base, extra)) AS x FROM h),
+n AS (SELECT md5(x.v) AS key, count(DISTINCT source) AS owners FROM e GROUP BY 1),
+j AS (SELECT rid, x, owners >= 3 AS example, owners < 3 AND (len(x.v) >= 16 AND regexp_matches(x.v, '[0-9]') AND regexp_matches(x.v, '[A-Za-z]') OR contains(x.v, 'PRIVATE KEY-----')) AS live FROM e JOIN n ON n.key = md5(e.x.v)),
+t AS (SELECT rid, list(x) FILTER (live AND x.k = 3) AS added, (count(DISTINCT (x.e - len(x.v), x.e)) FILTER (live))::BIGINT AS n_live, (count(DISTINCT x) FILTER (example))::BIGINT AS n_example FROM j GROUP BY 1)
+SELECT doc_id, len(a)::BIGINT AS n_assign, len(b)::BIGINT AS n_access, len(c)::BIGINT AS n_hex, sha256({_sql_text("base")}) AS base_sha256, {_sql_text("list_concat(base, coalesce(added, []))")} AS spans,
+  coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_example, 0)::BIGINT AS n_example FROM h LEFT JOIN t USING (rid)
+"""
