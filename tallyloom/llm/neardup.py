@@ -12,7 +12,7 @@ Texts with equal multisets are one node from then on.  Nodes share a bucket if o
 similarity 0.8 all bands fail with probability 2e-4.  In each bucket all nodes are compared with one leader, the node with the most
 neighbours in its buckets, so a group of n copies costs n comparisons and not n * n.  Of the pairs of a bucket that are then left in different classes,
 those are compared that can still be similar enough: 1 - similarity is a metric, so their distances to the leader differ by no more than the permitted
-distance; and shingles that no other text of these buckets has can't be shared, so what is left of the smaller text must do.  No bucket is
+distance; and their differences from the leader, kept as bit maps, bound what they share.  No bucket is
 capped, and nothing that could be a link is left out.  Classes are the connected components of verified pairs.
 
 Only texts of nodes with a bucket in common move, and never those of exact copies.  Tables in between are narrow and
@@ -37,6 +37,8 @@ from tallyloom.llm.shared import U64, components, lowered, mix64, text_slices, w
 SHINGLE = 5
 M, BANDS, ROWS = 64, 16, 4
 GAP = 4.0
+#: Bits of the maps of differences from a leader.
+BITS = 512
 _STEP, _PART, _TOP = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
 #: Rows of ``dropped`` (8 bytes each) up to which it is broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -165,16 +167,37 @@ def signed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact weighted Jaccard similarity of columns text_a and text_b; a batch's equal texts share their shingles."""
+    """Of columns text_a and text_b: exact weighted Jaccard similarity, and how a differs: ``BITS``-bit maps of the shingles that it has less of (miss) and
+    more of (extra) than b, and the weight of the latter.  A batch's equal texts share their shingles."""
     for batch in batches:
         kept: dict[str, tuple] = {}
-        sims = []
+        sims, miss, extra, more = [], [], [], []
         for pair in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             for text in pair:
                 if text not in kept:
                     kept[text] = _multiset(text)
-            sims.append(_similarity(kept[pair[0]], kept[pair[1]]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], ["a", "b", "sim"])
+            a, b = kept[pair[0]], kept[pair[1]]
+            sims.append(_similarity(a, b))
+            (less, _), (much, weight) = _excess(b, a), _excess(a, b)
+            miss.append(_bitmap(less))
+            extra.append(_bitmap(much))
+            more.append(int(weight))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sims, pa.float64()), *[pa.array(x, pa.list_(pa.int64())) for x in (miss, extra)], pa.array(more, pa.int64())], ["a", "b", "sim", "miss", "extra", "n_extra"])
+
+
+def _excess(a: tuple, b: tuple) -> tuple[np.ndarray, int]:
+    """Shingles of which a has more than b, and by how much in all."""
+    if not len(b[0]):
+        return a[0], int(a[1].sum())
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    over = a[1] - np.where(b[0][at] == a[0], b[1][at], 0)
+    return a[0][over > 0], int(over[over > 0].sum())
+
+
+def _bitmap(shingles: np.ndarray) -> list[int]:
+    bits = np.zeros(BITS, bool)
+    bits[(shingles >> U64(20)) & U64(BITS - 1)] = True
+    return np.packbits(bits).view(np.int64).tolist()
 
 
 def _multiset(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -213,25 +236,22 @@ def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, *, id_col: st
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with their similarity."""
+    """``pairs`` (a, b) with their similarity and differences."""
     both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_overlap, "a binary, b binary, sim double")
-
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_overlap, "a binary, b binary, sim double, miss array<bigint>, extra array<bigint>, n_extra bigint")
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, hi, data, offsets in text_slices(lowered(batch.column(1))):
-            words, _, first = words_of(data, offsets)
-            text, shingle, weight = shingles_of(words, first)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(text)), pa.array(shingle.view(np.int64)), pa.array(weight.astype(np.int64))], ["key", "shingle", "weight"])
 
+def most_shared(x: str, y: str) -> F.Column:
+    """A bound of the weight that texts x and y of one leader share, by their differences from it.
 
-def own_weight(texts: DataFrame) -> DataFrame:
-    """node, own: the weight of a text's shingles that no other one of these texts has."""
-    rows = texts.select(F.xxhash64("node").alias("key"), "text").mapInArrow(_exploded, "key bigint, shingle bigint, weight bigint")
-    single = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min("weight").alias("weight")).where("n = 1")
-    own = single.groupBy("key").agg(F.sum("weight").alias("own"))
-    return texts.select("node", F.xxhash64("node").alias("key")).join(own, "key", "left").select("node", F.coalesce("own", F.lit(0)).alias("own"))
+    Of the leader's shingles they can't share those that either has less of: at least as many as the union of the two maps has bits.  Of
+    the rest, the weight that one has beyond the leader, less the bits of its map that the other's lacks.
+    """
+    bits = lambda f: sum((F.bit_count(f(i)) for i in range(1, BITS // 64)), F.bit_count(f(0)))
+    column = lambda side, name: (lambda i: F.col(f"{side}.{name}")[i])
+    missing = bits(lambda i: column(x, "miss")(i).bitwiseOR(column(y, "miss")(i)))
+    beyond = [F.col(f"{a}.n_extra") - bits(lambda i, a=a, b=b: column(a, "extra")(i).bitwiseAND(F.bitwise_not(column(b, "extra")(i)))) for a, b in ((x, y), (y, x))]
+    return F.col(f"{x}.leader_size") - missing + F.least(*beyond)
 
 
 def links(docs: DataFrame, rows: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -251,23 +271,19 @@ def links(docs: DataFrame, rows: DataFrame, *, threshold: float = 0.8, id_col: s
     found = first.where(F.col("sim") >= threshold)
     classes = components(found.select("a", "b"))
     # what is left: buckets with nodes of several classes; who isn't linked to the leader there may be to another one
-    known = cells.where("node != leader").join(first.withColumnsRenamed({"a": "node", "b": "leader"}), ["node", "leader"]).select("bucket", "node", "size", (1 - F.col("sim")).alias("d"))
-    known = known.join(classes, "node", "left").select("bucket", "node", "size", "d", F.coalesce("label", "node").alias("label"))
+    differ = first.select(F.col("a").alias("node"), F.col("b").alias("leader"), (1 - F.col("sim")).alias("d"), "miss", "extra", "n_extra")
+    known = cells.where("node != leader").join(classes, "node", "left").select("bucket", "node", "leader", "size", "leader_size", F.coalesce("label", "node").alias("label"))
     several = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
-    known = written(known.join(several, "bucket", "left_semi"), "neardup-known")
-    own = written(own_weight(texts.join(known.select("node").distinct(), "node", "left_semi")), "neardup-own")
-    # "most": what a node can share with any other one; whom it can't link to even so is left out
-    own = own.join(nodes.select("node", "bands"), "node")
-    known = written(known.join(own, "node").select("bucket", "node", "size", "d", "label", "bands", (F.col("size") - F.col("own")).alias("most")), "neardup-open-nodes")
-    reached = known.where((F.col("most") >= F.lit(threshold) * F.col("size") - 1e-9))
-    far = reached.where(F.col("d") > 1 - threshold)
-    x, y = far.alias("x"), reached.alias("y")
-    most = F.least("x.most", "y.most")
+    known = known.join(several, "bucket", "left_semi").join(differ, ["node", "leader"]).join(nodes.select("node", "bands"), "node")
+    known = written(known, "neardup-known")
+    far = known.where(F.col("d") > 1 - threshold)
+    x, y = far.alias("x"), known.alias("y")
+    most = most_shared("x", "y")
     open_pairs = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where(
         (F.col("x.label") != F.col("y.label")) & (F.abs(F.col("x.d") - F.col("y.d")) <= 1 - threshold + 1e-9)
-        & (most >= F.lit(threshold) * (F.col("x.size") + F.col("y.size") - most) - 1e-9)
         # of two far nodes one order is enough
         & ((F.col("y.d") <= 1 - threshold) | (F.col("x.node") < F.col("y.node")))
+        & (most * (1 + threshold) >= F.lit(threshold) * (F.col("x.size") + F.col("y.size")) - 1e-6)
         # of the buckets that both are in, the least one has the pair
         & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.bucket"))
     )
