@@ -5,9 +5,10 @@ three tokens over and over are one symbol for each period and length. Raw text i
 ``target`` (good and not toxic), ``low`` and ``toxic``. Each model is a ratio per bucket to the model of the whole corpus, which counts every
 document: (the stratum's documents with the bucket + 1) / (what its share of all such counts makes expected + 1), or 1 where the two don't differ by
 ``SIGNIFICANT`` standard deviations. Buckets whose ratios to the target model are within a factor of ``TELLS`` count as alike, so that the many words
-of a long text don't add up to a verdict. Nor does a bucket speak against a text if a few groups of copies account for it: a sketch counts distinct
-least word hashes, which copies share, among a stratum's documents with the bucket; there must be ``DISTINCT`` and a third of their number. A
-document's log weight is log p_target - log p_raw, with p_raw the mixture of the three by their shares of the labels.
+of a long text don't add up to a verdict; and none counts for more than a factor of ``MOST``, so that one bucket, which n-grams share by chance,
+doesn't decide. Nor does a bucket speak against a text if a few groups of copies account for it: a sketch counts distinct least hashes of ``RUN``
+words, which copies share, among a stratum's documents with the bucket; there must be ``DISTINCT`` and a third of their number. A document's log
+weight is log p_target - log p_raw, with p_raw the mixture of the three by their shares of the labels.
 
 As many documents are drawn as the weights give a posterior of ``least_posterior`` or more of being target text (so a document goes only on strong
 evidence): those with the largest log weight plus ``temperature`` times a Gumbel number from the hash of seed and id, the top k in one pass of exact
@@ -31,15 +32,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from tallyloom.llm.shared import U64, lowered, mix64, span_hashes, text_slices, unit_hash, word_bytes, written
+from tallyloom.llm.shared import U64, free_names, lowered, mix64, span_hashes, text_slices, unit_hash, word_bytes, written
 
 BITS = 20
 BUCKETS = 1 << BITS
 #: Buckets summed together.
 CHUNK = 1 << 15
-SIGNIFICANT, TELLS, DISTINCT = 5.0, 10.0, 8
+SIGNIFICANT, TELLS, MOST, DISTINCT, RUN = 5.0, 10.0, 30.0, 8, 5
 STRATA = ("target", "low", "toxic")
+ADDED = ("_id", "_log_weight", "_likely", "_key")
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -80,11 +83,18 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def sketch_bits(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each text one of 64 bits by its least word hash: one of 4 lanes, and in it bit r with probability 2**-(r+1) (Flajolet and Martin's sketch)."""
+    """For each text one of 64 bits by the least hash of its runs of ``RUN`` tokens, which copies share and other texts don't: one of 4 lanes, and in it
+    bit r with probability 2**-(r+1) (Flajolet and Martin's sketch).  A shorter text goes by its tokens' sum."""
     words, first = tokens_of(data, offsets)
-    least = np.zeros(len(first) - 1, U64)
-    some = np.flatnonzero(np.diff(first))
-    least[some] = np.minimum.reduceat(mix64(words), first[some]) if len(some) else 0
+    n = np.diff(first)
+    runs = words.copy()
+    for i in range(1, min(RUN, len(words))):
+        runs[:-i] = runs[:-i] * U64(0x100000001B3) + words[i:]
+    whole = np.repeat(first[1:], n) - np.arange(len(words)) >= RUN
+    runs = np.where(whole, mix64(runs), U64((1 << 64) - 1))
+    least, some = np.zeros(len(n), U64), np.flatnonzero(n)
+    if len(some):
+        least[some] = np.where(n[some] >= RUN, np.minimum.reduceat(runs, first[some]), np.add.reduceat(words, first[some]))
     h = mix64(least)
     low = h >> U64(2) | U64(1 << 15)
     rank = np.log2((low & (~low + U64(1))).astype(float)).astype(U64)
@@ -178,7 +188,7 @@ def _ratios(mass: np.ndarray):
         seen = counts[1:]
         ratio = np.log((seen + 1) / (expected + 1))
         ratio[np.abs(seen - expected) < SIGNIFICANT * np.sqrt(expected + 1)] = 0.0
-        low, toxic = (np.where(np.abs(r - ratio[0]) < np.log(TELLS), 0.0, r - ratio[0]) for r in ratio[1:])
+        low, toxic = (np.where(np.abs(r - ratio[0]) < np.log(TELLS), 0.0, np.clip(r - ratio[0], -np.log(MOST), np.log(MOST))) for r in ratio[1:])
         for r, n, sketch in ((low, seen[1], sketches[0]), (toxic, seen[2], sketches[1])):
             r[(r > 0) & (distinct(sketch) < np.maximum(DISTINCT, n / 3))] = 0.0
         at = np.flatnonzero((low != 0) | (toxic != 0))
@@ -230,10 +240,11 @@ def _log_weights(model: dict, texts: pa.Array) -> np.ndarray:
 
 
 def weighed(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, temperature: float = 0.1, least_posterior: float = 0.05, whole_rows: bool = False) -> DataFrame:
-    """Columns _id, _log_weight, _likely and _key of each row; with ``whole_rows`` the rows' own columns as well, before them."""
+    """Columns ADDED of each row; with ``whole_rows`` the rows' own columns before them, and those renamed if need be."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     own = docs.columns if whole_rows else []
-    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{id_col}`").alias("_id"), unit_hash(f"quality:{seed}", F.col(f"`{id_col}`")).alias("_u"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    *names, drawn, text = free_names(docs, *ADDED, "_u", "_text") if whole_rows else [*ADDED, "_u", "_text"]
+    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{id_col}`").alias(names[0]), unit_hash(f"quality:{seed}", F.col(f"`{id_col}`")).alias(drawn), F.col(f"`{text_col}`").cast("string").alias(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         share = max(held.value["shares"][0], 1e-300)
@@ -242,11 +253,10 @@ def weighed(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: s
             u = np.clip(batch.column(len(own) + 1).to_numpy(), 2.0**-53, 1 - 2.0**-53)
             # nothing is rejected without a target model
             likely = np.log(share) + w >= np.log(least_posterior) if held.value["shares"][0] else np.ones(len(w), bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own) + 1], pa.array(w), pa.array(likely), pa.array(w - temperature * np.log(-np.log(u)))], [*own, "_id", "_log_weight", "_likely", "_key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own) + 1], pa.array(w), pa.array(likely), pa.array(w - temperature * np.log(-np.log(u)))], [*own, *names])
 
-    fields = rows.schema.fields[: len(own) + 1]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", _log_weight double, _likely boolean, _key double"
-    return rows.mapInArrow(run, schema)
+    fields = [*rows.schema.fields[: len(own) + 1], *[StructField(n, k()) for n, k in zip(names[1:], (DoubleType, BooleanType, DoubleType), strict=True)]]
+    return rows.mapInArrow(run, StructType(fields))
 
 
 def threshold(keys: DataFrame, k: int, bins: int = 4096) -> float:
@@ -286,7 +296,8 @@ def keep(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col
     at = {"id_col": id_col, "text_col": text_col, "seed": seed, "temperature": temperature, "least_posterior": least_posterior}
     keys = written(weighed(docs, model, **at).select("_likely", "_key"), "quality-keys")
     least = threshold(keys, keys.where("_likely").count())
-    return weighed(docs, model, **at, whole_rows=True).where(F.col("_key") >= F.lit(least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = weighed(docs, model, **at, whole_rows=True)
+    return rows.where(F.col(rows.columns[-1]) >= F.lit(least)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

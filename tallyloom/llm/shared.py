@@ -38,6 +38,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front as long as ``df`` has a column so called (in any case)."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name = "_" + name
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def unit_hash(tag: str, *cols) -> "F.Column":
     """A number in [0, 1) from the SHA-256 of ``tag`` and the columns: the same on every run and engine."""
     text = F.concat_ws(":", F.lit(tag), *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])
