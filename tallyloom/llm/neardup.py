@@ -1,26 +1,26 @@
 """Near duplicates by BagMinHash: weighted-Jaccard signatures of word-shingle multisets, banded, then verified by exact multiset overlap.
 
-A text is the multiset of its shingles of ``SHINGLE`` words (lower case; a text of fewer words is one shingle).  Each shingle has Poisson processes
-on its weight axis: the first unit, and then intervals that double, [1, 2), [2, 4), [4, 8) and so on.  A point has a time, exponential
-steps apart at a rate of the interval's width; a component of the signature; and a place in the interval, given by as many hash bits as
-the interval has halvings.  It counts if its place lies below the shingle's weight, so equal shingles share all points below the lesser weight,
-and a component's earliest point is equal in two texts with probability sum(min) / sum(max), the weighted Jaccard similarity (Ertl, "BagMinHash",
-2018).  Points are drawn in order of time up to a limit after which all components are filled in nearly all cases, about
-``M`` * (ln ``M`` + 4) points however long the text is; texts with a gap are drawn again with twice the limit, so signatures are exact.
-
-Texts with equal multisets are one node from then on.  Nodes share a bucket if one of ``BANDS`` bands of ``ROWS`` components agrees: at
-similarity 0.8 all bands fail with probability 2e-4.  In each bucket all nodes are compared with one leader, the node with the most
-neighbours in its buckets, so a group of n copies costs n comparisons and not n * n.  Of the pairs of a bucket that are then left in different classes,
-those are compared that can still be similar enough: 1 - similarity is a metric, so their distances to the leader differ by no more than the permitted
-distance; and their differences from the leader, kept as bit maps, bound what they share.  No bucket is
-capped, and nothing that could be a link is left out.  Classes are the connected components of verified pairs.
-
-Only texts of nodes with a bucket in common move, and never those of exact copies.  Tables in between are narrow and
-written to the shared folder; neither pairs nor labels reach the driver.
-
-Nulls and edges: a null text is empty; texts without words are one class; repeated rows are exact copies; a null id belongs to its class, whose
-id is the least one that isn't null (null if all are).  An empty table gives an empty result.  Extra columns are kept by ``keep_one`` and left
-out by ``classes``.
+A text is the multiset of its shingles of ``SHINGLE`` words (lower case; a text of fewer words is one shingle). Each shingle has Poisson processes on
+its weight axis: the first unit, and then intervals that double, [1, 2), [2, 4), [4, 8) and so on. A point has a time, exponential steps apart at a
+rate of the interval's width; a component of the signature; and a place in the interval, given by as many hash bits as the interval has halvings. It
+counts if its place lies below the shingle's weight, so equal shingles share all points below the lesser weight, and a component's earliest point is
+equal in two texts with probability sum(min) / sum(max), the weighted Jaccard similarity (Ertl, "BagMinHash", 2018). Points are drawn in order of time
+up to a limit after which all components are filled in nearly all cases, about ``M`` * (ln ``M`` + 4) points however long the text is; texts with a
+gap are drawn again with twice the limit, so signatures are exact.
+
+Texts with equal multisets are one node from then on. Nodes share a bucket if one of ``BANDS`` bands of ``ROWS`` components agrees: at similarity 0.8
+all bands fail with probability 2e-4. In each bucket all nodes are compared with one leader, the node with the most neighbours in its buckets, so a
+group of n copies costs n comparisons and not n * n. Of the pairs of a bucket that are then left in different classes, those are compared that can
+still be similar enough: 1 - similarity is a metric, so their distances to the leader differ by no more than the permitted distance; and their
+differences from the leader, kept as bit maps, bound what they share. No bucket is capped, and nothing that could be a link is left out. Classes are
+the connected components of verified pairs.
+
+Only texts of nodes with a bucket in common move, and never those of exact copies. Tables in between are narrow and written to the shared folder;
+neither pairs nor labels reach the driver.
+
+Nulls and edges: a null text is empty; texts without words are one class; repeated rows are exact copies; a null id belongs to its class, whose id is
+the least one that isn't null (null if all are). An empty table gives an empty result. Extra columns are kept by ``keep_one`` and left out by
+``classes``.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import U64, components, lowered, mix64, text_slices, words_of, written
+from tallyloom.llm.shared import U64, components, free_names, lowered, mix64, text_slices, words_of, written
 
 SHINGLE = 5
 M, BANDS, ROWS = 64, 16, 4
@@ -311,14 +311,15 @@ def keep_one(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id",
     ``BROADCAST_ROWS`` go or rows are repeated."""
     found = written(classes(docs, threshold=threshold, id_col=id_col, text_col=text_col), "neardup-classes")
     key = F.xxhash64(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    dropped = found.where("row != class_row").select(F.col("row").alias("_neardup_row")).distinct()
+    own, gone = free_names(docs, "_neardup_key", "_neardup_row")
+    dropped = found.where("row != class_row").select(F.col("row").alias(gone)).distinct()
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    kept = docs.withColumn("_neardup_key", key).join(dropped, F.col("_neardup_key") == F.col("_neardup_row"), "left_anti")
+    kept = docs.withColumn(own, key).join(dropped, F.col(own) == F.col(gone), "left_anti")
     stays = found.where("row = class_row")
     if stays.groupBy("row").count().where("count > 1").isEmpty():
-        return kept.drop("_neardup_key")
-    return kept.dropDuplicates(["_neardup_key"]).drop("_neardup_key")
+        return kept.drop(own)
+    return kept.dropDuplicates([own]).drop(own)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

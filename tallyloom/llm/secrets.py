@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import written
+from tallyloom.llm.shared import free_names, written
 
 _KEY = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
 ASSIGN = rf"""({_KEY})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -134,17 +134,18 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
     Only texts with a live value are joined to their spans; Spark broadcasts that table if it is under its threshold.
     """
     table = candidate_table(docs, id_col=id_col, text_col=text_col, repo=F.col(id_col) if repo is None else repo, owner=F.col("source") if owner is None else owner)
-    marks = written(per_text(judged(table, min_owners)).where(F.size("live") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.array_sort("live").alias("_live")), "secrets-live")
+    of, key, live = free_names(docs, "_id", "_key", "_live")
+    marks = written(per_text(judged(table, min_owners)).where(F.size("live") > 0).select(F.col("doc_id").alias(of), F.col("text_key").alias(key), F.array_sort("live").alias(live)), "secrets-live")
     text = F.col(f"`{text_col}`")
-    hit = docs.join(marks, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_key")), "left")
+    hit = docs.join(marks, F.col(id_col).eqNullSafe(F.col(of)) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(key)), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         gap = F.substring(text, acc["at"] + 1, x["s"] - acc["at"])
         return F.when(x["s"] < acc["at"], F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(x["e"].alias("at"), F.concat(acc["out"], gap, F.lit(mark)).alias("out")))
 
-    new = F.aggregate("_live", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return hit.select(*[(F.when(F.col("_live").isNotNull(), new).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns])
+    new = F.aggregate(live, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return hit.select(*[(F.when(F.col(live).isNotNull(), new).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

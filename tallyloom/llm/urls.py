@@ -1,20 +1,20 @@
 """URL filters: host and path rules, and an exact blocklist in a cascade of Bloom filters.
 
 The cascade: its first filter holds the listed keys; the second those keys of the corpus's complete key universe that the first lets through without
-being listed (its false positives); the third the listed keys that the second lets through; and so on until a filter has none.  A key of
-the universe is listed if the number of filters that let it through, before the first that doesn't, is odd.  So membership is exact, with about
-a few bits for each listed key and no join of pages to the list.  Keys outside the universe may be judged wrongly, which can't happen here: the
-universe is all hosts of the table that is judged.
+being listed (its false positives); the third the listed keys that the second lets through; and so on until a filter has none. A key of the universe
+is listed if the number of filters that let it through, before the first that doesn't, is odd. So membership is exact, with about a few bits for each
+listed key and no join of pages to the list. Keys outside the universe may be judged wrongly, which can't happen here: the universe is all hosts of
+the table that is judged.
 
-Filters are built in one pass over the keys for each level, as bit ranges that are united on the executors.  The keys are split by hash into as many blocks as
-keep each block's cascade under ``BLOCK_BITS`` in all; pages pass once for each block, with that block's filters broadcast, so what is broadcast is bounded whatever the
-list's size.  A host with a third of all pages is one key.
+Filters are built in one pass over the keys for each level, as bit ranges that are united on the executors. The keys are split by hash into as many
+blocks as keep each block's cascade under ``BLOCK_BITS`` in all; pages pass once for each block, with that block's filters broadcast, so what is
+broadcast is bounded whatever the list's size. A host with a third of all pages is one key.
 
 Rules come first: of the rules whose host is the page's or one of its parents, and whose path its path starts with, the longest (host, then path)
 decides; without one the cascade does.
 
-Nulls and edges: a null url, or one without ``://``, has empty host and path, and the empty host is never listed; repeated rows are judged alike; an empty table, or an
-empty list, gives filters without bits.  Extra columns are left out.
+Nulls and edges: a null url, or one without ``://``, has empty host and path, and the empty host is never listed; repeated rows are judged alike; an
+empty table, or an empty list, gives filters without bits. Extra columns are left out.
 """
 
 from __future__ import annotations
