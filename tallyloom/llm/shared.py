@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,18 @@ def unit_hash(tag: str, *cols) -> "F.Column":
     return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def lean(run: Callable) -> Callable:
+    """A function of Arrow batches that gives freed memory back at its end: Python workers live on, idle, while other stages need the room."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return own
+
+
 # --- numpy -----------------------------------------------------------------------------------------
 
 
@@ -76,7 +89,7 @@ _POWERS: list[np.ndarray] = []
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n + 1:
-        size = max(n + 1, 1 << 20)
+        size = max(n + 1, 1 << 18)
         inverse = pow(_BASE, -1, 1 << 64)
         out = []
         for b in (_BASE, inverse):
@@ -114,7 +127,7 @@ def word_bytes(data: np.ndarray) -> np.ndarray:
     return word
 
 
-def text_slices(column: pa.Array, budget: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, budget: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a string column into runs of whole texts of about ``budget`` bytes; a longer text stands alone.
 
     Yields first row, row after the last, the bytes, and the texts' offsets in them.  Nulls count as empty.
