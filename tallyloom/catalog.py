@@ -282,7 +282,7 @@ def nqc_gap(spark, d):
 def config_agreement_spearman(spark, d):
     rows = retrieval.outcomes(spark, d).join(_pseudo(spark, d).withColumn("pseudo", F.round("pseudo", 9)), ["query", "config"])
     ranked = effects.average_rank(effects.average_rank(rows, "value", "a", ("query",)), "pseudo", "b", ("query",))
-    return ranked.groupBy("query").agg(F.round(F.when((F.var_pop("a") > 0) & (F.var_pop("b") > 0), F.corr("a", "b")), 6).alias("rho"))
+    return ranked.groupBy("query").agg(F.round(effects.correlation("a", "b"), 6).alias("rho"))
 
 
 @query("""WITH u AS (SELECT conv_id, turn, regexp_extract_all(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[\\p{L}\\p{N}\\p{M}]+') AS t, role FROM conversations),
@@ -403,7 +403,7 @@ def precision_weights(spark, d):
 
 
 @query("""WITH s AS (SELECT s_nationkey AS g, s_acctbal::DOUBLE AS x, s_suppkey::DOUBLE AS y FROM supplier), m AS (SELECT round(x - avg(x) OVER (PARTITION BY g), 6) AS x, round(y - avg(y) OVER (PARTITION BY g), 6) AS y FROM s),
-    r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2e0 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2e0 AS b FROM m) SELECT round(corr(a, b), 6) AS rho FROM r""")
+    r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2e0 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2e0 AS b FROM m) SELECT round(CASE WHEN var_pop(a) > 0 AND var_pop(b) > 0 THEN corr(a, b) END, 6) AS rho FROM r""")
 def group_demeaned_spearman(spark, d):
     rows = inputs.table(spark, d, "supplier").select(F.col("s_nationkey").alias("g"), F.col("s_acctbal").cast("double").alias("x"), F.col("s_suppkey").cast("double").alias("y"))
     rows = rows.select(F.round(effects.demeaned(rows, "x", "g"), 6).alias("x"), F.round(effects.demeaned(rows, "y", "g"), 6).alias("y"))

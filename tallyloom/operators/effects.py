@@ -107,9 +107,14 @@ def average_rank(rows: DataFrame, value: str, alias: str, by: tuple[str, ...] =
     return rows.withColumn(alias, F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*[F.col(c) for c in by] or [F.lit(0)], F.col(value))) - 1) / 2.0)
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's; null without variation."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def spearman(rows: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
     ranked = average_rank(average_rank(rows, x, "_rx", by), y, "_ry", by)
-    return ranked.groupBy(*by).agg(F.corr("_rx", "_ry").alias("rho"))
+    return ranked.groupBy(*by).agg(correlation("_rx", "_ry").alias("rho"))
 
 
 def demeaned(rows: DataFrame, value: str, group: str) -> Column:
