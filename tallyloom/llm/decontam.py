@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import U64, lean, lowered, mix64, text_slices, words_of
+from tallyloom.llm.shared import U64, bounded, lean, lowered, mix64, text_slices, words_of
 
 MIN_WORDS = 8
 BLOCK_BYTES = 16 << 20
@@ -239,7 +239,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kinds = rows.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     parts = [
-        rows.mapInArrow(lean(_finder(docs.sparkSession.sparkContext.broadcast(index))), f"doc_id {kinds[0]}, item_id {kinds[1]}, start_word bigint, edits bigint, item_words bigint")
+        bounded(rows).mapInArrow(lean(_finder(docs.sparkSession.sparkContext.broadcast(index))), f"doc_id {kinds[0]}, item_id {kinds[1]}, start_word bigint, edits bigint, item_words bigint")
         for index in indexes(benchmark, id_col=item_col, text_col="text", max_edit=max_edit, recall=recall)
     ]
     out = parts[0]
@@ -273,7 +273,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item
                 keep[[d for d, *_ in held.value.texts(batch.column(at))]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(lean(run), docs.schema)
+        docs = bounded(docs).mapInArrow(lean(run), docs.schema)
     return docs
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import U64, components, free_names, lean, lowered, mix64, text_slices, words_of, written
+from tallyloom.llm.shared import U64, bounded, components, free_names, lean, lowered, mix64, text_slices, words_of, written
 
 SHINGLE = 5
 M, BANDS, ROWS = 64, 16, 4
@@ -163,7 +163,7 @@ def signed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("row"), text.alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return written(rows.mapInArrow(lean(_signed), f"id {kind}, row bigint, node binary, size bigint, bands array<bigint>"), "neardup-signed")
+    return written(bounded(rows).mapInArrow(lean(_signed), f"id {kind}, row bigint, node binary, size bigint, bands array<bigint>"), "neardup-signed")
 
 
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +238,7 @@ def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, *, id_col: st
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with their similarity and differences."""
     both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(lean(_overlap), "a binary, b binary, sim double, miss array<bigint>, extra array<bigint>, n_extra bigint")
+    return bounded(both.select("a", "b", "text_a", "text_b")).mapInArrow(lean(_overlap), "a binary, b binary, sim double, miss array<bigint>, extra array<bigint>, n_extra bigint")
 
 
 def most_shared(x: str, y: str) -> F.Column:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from tallyloom.llm.shared import U64, free_names, lean, lowered, mix64, span_hashes, text_slices, unit_hash, word_bytes, written
+from tallyloom.llm.shared import U64, bounded, free_names, lean, lowered, mix64, span_hashes, text_slices, unit_hash, word_bytes, written
 
 BITS = 20
 BUCKETS = 1 << BITS
@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     sc = docs.sparkSession.sparkContext
     held = sc.broadcast(strata(labels, max_labels))
     rows = docs.select(_key(F.col(id_col)).alias("k"), F.col(text_col).cast("string").alias("t"))
-    parts = rows.mapInArrow(lean(_counter(held)), "chunk int, counts binary").withColumn("half", F.spark_partition_id() % 64)
+    parts = bounded(rows).mapInArrow(lean(_counter(held)), "chunk int, counts binary").withColumn("half", F.spark_partition_id() % 64)
     parts = written(parts.groupBy("chunk", "half").applyInArrow(_summed, "chunk int, counts binary"), "quality-counts")
     n, mass = np.zeros(4, np.int64), np.zeros(4, np.int64)
     for r in parts.where("chunk = -1").collect():
@@ -257,7 +257,7 @@ def weighed(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(own) + 1], pa.array(w), pa.array(likely), pa.array(w - temperature * np.log(-np.log(u)))], [*own, *names])
 
     fields = [*rows.schema.fields[: len(own) + 1], *[StructField(n, k()) for n, k in zip(names[1:], (DoubleType, BooleanType, DoubleType), strict=True)]]
-    return rows.mapInArrow(lean(run), StructType(fields))
+    return bounded(rows).mapInArrow(lean(run), StructType(fields))
 
 
 def threshold(keys: DataFrame, k: int, bins: int = 4096) -> float:

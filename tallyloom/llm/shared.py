@@ -56,6 +56,18 @@ def unit_hash(tag: str, *cols) -> "F.Column":
     return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+#: Rows of an Arrow batch, at most: a batch is held some times over, in the JVM's direct memory and in Python, and texts can be long.
+BATCH_ROWS = 1000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session sends Arrow batches of at most ``BATCH_ROWS`` rows."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df
+
+
 def lean(run: Callable) -> Callable:
     """A function of Arrow batches that gives freed memory back at its end: Python workers live on, idle, while other stages need the room."""
 
