@@ -130,3 +130,47 @@ def test_catalogue_on_small_tables(spark):
     from tallyloom.plans import inputs
 
     inputs.release()
+
+
+def write_collection(folder):
+    topics = ["granite basalt quartz", "sparrow heron finch", "copper zinc nickel", "maple birch alder", "violin cello flute", "comet nebula quasar"]
+    docs = [{"_id": f"d{i:02}", "title": topics[i % 6].split()[i // 6 % 3], "text": f"{topics[i % 6]} shared words{' shared words' * (i // 12)}"} for i in range(30)]
+    (folder / "docs.jsonl").write_text("\n".join(map(json.dumps, docs)))
+    (folder / "queries.jsonl").write_text("\n".join(json.dumps({"_id": f"q{t}", "text": topics[t].split()[0] + " shared"}) for t in range(6)))
+    (folder / "qrels.tsv").write_text("query-id\tcorpus-id\tscore\n" + "\n".join(f"q{i % 6}\td{i:02}\t{1 + i % 2}" for i in range(30)))
+    return [str(folder / n) for n in ("docs.jsonl", "queries.jsonl", "qrels.tsv")]
+
+
+def test_collection_from_end_to_end(spark, tmp_path):
+    from tallyloom.plans import dataset
+
+    files = write_collection(tmp_path)
+    tables = dataset.prepare(spark, *files, str(tmp_path / "c"), expected_documents=30, expected_queries=6)
+    indexed = dataset.index(tables["documents"], str(tmp_path / "c" / "index"))
+    got = dataset.evaluate(indexed, tables["queries"], tables["qrels"], k=25)
+    assert got["rankings"].count() == 6 * 8 * 25
+    best = {r["item"] for r in got["rankings"].where("query = 'q0' and config = '111' and rank <= 5").collect()}
+    assert best == {"d00", "d06", "d12", "d18", "d24"}
+    assert got["metrics"].count() == 48 and got["means"].where("config = '111'").first().ndcg10 > 0.9
+    assert got["effect"].count() == 1
+    small = dataset.index(tables["documents"], str(tmp_path / "c" / "small"), budget=2)
+    assert small["features"].groupBy("item").count().agg(F.max("count")).first()[0] == 2
+    with pytest.raises(ValueError, match="documents"):
+        dataset.prepare(spark, *files, str(tmp_path / "c"), expected_documents=31)
+    (tmp_path / "more.tsv").write_text("q0 d99 1\n")
+    with pytest.raises(ValueError, match="unknown documents"):
+        dataset.prepare(spark, files[0], files[1], str(tmp_path / "more.tsv"), str(tmp_path / "c"))
+    kept = dataset.prepare(spark, files[0], files[1], str(tmp_path / "more.tsv"), str(tmp_path / "c2"), allowed_missing={"d99": "withdrawn"})
+    assert kept["missing"].count() == 1
+    assert dataset.algebra_error(spark) < 1e-12
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tallyloom.__main__ import main
+
+    files = write_collection(tmp_path)
+    assert main(["list"]) == 0 and "lattice_top10" in capsys.readouterr().out
+    assert main(["sql", "gini"]) == 0
+    assert main(["prepare", *files, str(tmp_path / "c")]) == 0 and main(["index", str(tmp_path / "c")]) == 0
+    assert main(["evaluate", str(tmp_path / "c"), "--k", "10"]) == 0
+    assert "| 111 |" in capsys.readouterr().out and main(["controls"]) == 0
