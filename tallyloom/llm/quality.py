@@ -3,12 +3,12 @@
 A document is the set of its hashed word unigrams and bigrams, words and runs of punctuation being tokens, lower case; n-grams that repeat one, two or
 three tokens over and over are one symbol for each period and length. Raw text is a mixture of three models, the strata that the labels show:
 ``target`` (good and not toxic), ``low`` and ``toxic``. Each model is a ratio per bucket to the model of the whole corpus, which counts every
-document: (the stratum's documents with the bucket + 1) / (what its share of all such counts makes expected + 1), or 1 where the two don't differ by
-``SIGNIFICANT`` standard deviations. Buckets whose ratios to the target model are within a factor of ``TELLS`` count as alike, so that the many words
-of a long text don't add up to a verdict; and none counts for more than a factor of ``MOST``, so that one bucket, which n-grams share by chance,
-doesn't decide. Nor does a bucket speak against a text if a few groups of copies account for it: a sketch counts distinct least hashes of ``RUN``
-words, which copies share, among a stratum's documents with the bucket; there must be ``DISTINCT`` and a third of their number. A document's log
-weight is log p_target - log p_raw, with p_raw the mixture of the three by their shares of the labels.
+document: (the stratum's documents with the bucket + 1) / (what its share of all such counts makes expected + 1). Buckets in which a stratum doesn't
+differ from the target by ``SIGNIFICANT`` standard deviations and a factor of ``TELLS`` count as alike, so that the many words of a long text don't
+add up to a verdict; and none counts for more than a factor of ``MOST``, so that one bucket, which n-grams share by chance, doesn't decide. Nor does a
+bucket speak against a text if a few groups of copies account for it: a sketch counts distinct least hashes of ``RUN`` words, which copies share,
+among a stratum's documents with the bucket; there must be ``DISTINCT`` and a third of their number. A document's log weight is log p_target - log
+p_raw, with p_raw the mixture of the three by their shares of the labels.
 
 As many documents are drawn as the weights give a posterior of ``least_posterior`` or more of being target text (so a document goes only on strong
 evidence): those with the largest log weight plus ``temperature`` times a Gumbel number from the hash of seed and id, the top k in one pass of exact
@@ -40,7 +40,7 @@ BITS = 20
 BUCKETS = 1 << BITS
 #: Buckets summed together.
 CHUNK = 1 << 15
-SIGNIFICANT, TELLS, MOST, DISTINCT, RUN = 5.0, 10.0, 30.0, 8, 5
+SIGNIFICANT, TELLS, MOST, DISTINCT, RUN = 5.0, 20.0, 30.0, 8, 5
 STRATA = ("target", "low", "toxic")
 ADDED = ("_id", "_log_weight", "_likely", "_key")
 
@@ -179,6 +179,14 @@ def _summed(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_row(chunk, total)])
 
 
+def _contrast(ratio: np.ndarray, seen: np.ndarray, mass: np.ndarray, k: int) -> np.ndarray:
+    """log ratio of stratum k to the target, 0 where chance would do: of what both have of a bucket, k's number against its share of their mass."""
+    both, share = seen[k] + seen[0], mass[k] / max(mass[k] + mass[0], 1)
+    z = (seen[k] - both * share) / np.sqrt(both * share * (1 - share) + 1)
+    r = ratio[k] - ratio[0]
+    return np.where((np.abs(z) < SIGNIFICANT) | (np.abs(r) < np.log(TELLS)), 0.0, np.clip(r, -np.log(MOST), np.log(MOST)))
+
+
 def _ratios(mass: np.ndarray):
     """log ratio of ``low`` and of ``toxic`` to ``target``, of a range of buckets; only those that aren't 0."""
 
@@ -188,8 +196,7 @@ def _ratios(mass: np.ndarray):
         expected = counts[0][None, :] * (mass[1:, None] / max(mass[0], 1))
         seen = counts[1:]
         ratio = np.log((seen + 1) / (expected + 1))
-        ratio[np.abs(seen - expected) < SIGNIFICANT * np.sqrt(expected + 1)] = 0.0
-        low, toxic = (np.where(np.abs(r - ratio[0]) < np.log(TELLS), 0.0, np.clip(r - ratio[0], -np.log(MOST), np.log(MOST))) for r in ratio[1:])
+        low, toxic = (_contrast(ratio, seen, mass[1:], k) for k in (1, 2))
         for r, n, sketch in ((low, seen[1], sketches[0]), (toxic, seen[2], sketches[1])):
             r[(r > 0) & (distinct(sketch) < np.maximum(DISTINCT, n / 3))] = 0.0
         at = np.flatnonzero((low != 0) | (toxic != 0))
