@@ -61,5 +61,6 @@ def test_edges(docs, no_docs):
     assert [r.n_assign for r in got if r.doc_id is None and r.spans] == [1]
     out = secrets.redact(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
-    assert {r.text for r in out.where("doc_id is null").collect()} == {None, "An unnamed text with password=[SECRET] in it."} or True
+    # a value of 13 characters isn't live-looking, so that text stays; so do null ones
+    assert {r.text for r in out.where("doc_id is null").collect()} == {None, "An unnamed text with password=abcdefgh12345 in it."}
     assert secrets.scan(no_docs).count() == 0 and secrets.redact(no_docs).count() == 0
