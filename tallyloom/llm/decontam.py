@@ -5,8 +5,12 @@ the pointer and moves on by one if bit j of the word's hash says so, so that str
 distance becomes Hamming distance between emitted sequences (Chakraborty, Goldenberg and Koucky 2016).  Each repetition has its own
 walk and its own sample of steps; the emitted words at these steps make the key.  All sampled steps lie before the least item
 length, so the pointer never leaves an item and verbatim copies always agree; and items are indexed from every word at which a whole
-walk fits, so that edits near an item's start don't matter.  Repetitions are added until simulated copies at the largest
-permitted distance are found with the target recall.
+walk fits, so that edits near an item's start don't matter.  Repetitions are added until, of each length, simulated copies at the
+largest permitted distance are found with the target recall.
+
+An item of fewer than ``FEW`` words, or of a length that doesn't reach the target in ``MAX_TABLES`` repetitions, is searched for
+exactly: cut into one piece more than edits are permitted, an edited copy has one piece as it is, so all places of all pieces are
+candidates and none is missed.
 
 Over a document the keys of all positions come from one backward recurrence per repetition,
 ``key_j[p] = emit_j[p] + (key_{j+1}[p+1] if bit_j[p] else key_{j+1}[p])``, in numpy over whole slices of text.
@@ -35,7 +39,12 @@ from tallyloom.llm.shared import U64, bounded, lean, lowered, mix64, text_slices
 
 MIN_WORDS = 8
 BLOCK_BYTES = 16 << 20
+#: Tables for each length of walk; items that need more are searched for by pieces.
 MAX_TABLES = 48
+#: Items of fewer words have few places to start a walk from, and are searched for by pieces; longest piece looked up.
+FEW, MAX_PIECE = 24, 8
+#: Simulated copies of each level of lengths: each length below 64 words, doubling ones beyond.
+TRIALS = 1000
 
 
 def sequences(texts: list[str]) -> list[np.ndarray]:
@@ -46,7 +55,27 @@ def sequences(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-class Table:
+class Keys:
+    """Items and places by key."""
+
+    def put(self, keys: np.ndarray, own: np.ndarray, places: np.ndarray) -> None:
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.items, self.places = keys[order], own[order], places[order]
+        self.bits = np.zeros(1 << max(16, int(len(keys)).bit_length() + 7), bool)
+        self.bits[(keys & U64(len(self.bits) - 1)).astype(np.int64)] = True
+
+    def get(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and the words at which their first word would stand, for all equal keys."""
+        at = np.flatnonzero(self.bits[(key & U64(len(self.bits) - 1)).astype(np.int64)])
+        lo, hi = np.searchsorted(self.keys, key[at], "left"), np.searchsorted(self.keys, key[at], "right")
+        n = hi - lo
+        at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        entry = np.repeat(lo, n) + within
+        return self.items[entry], np.repeat(at, n) - self.places[entry]
+
+
+class Table(Keys):
     """One repetition: a walk of ``length`` steps of which ``sampled`` make the key."""
 
     def __init__(self, seed: int, length: int, n_sampled: int):
@@ -56,10 +85,6 @@ class Table:
         # one step of each of n_sampled equal runs of steps: neighbours often emit the same word twice
         cuts = np.linspace(0, length, min(n_sampled, length) + 1).astype(int)
         self.weights = {int(rng.integers(a, b)): rng.integers(1, 1 << 63, dtype=U64) | U64(1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)}
-        self.keys = np.zeros(0, U64)
-        self.items = np.zeros(0, np.int64)
-        self.places = np.zeros(0, np.int64)
-        self.bits = np.zeros(1, bool)
 
     def walk(self, words: np.ndarray) -> np.ndarray:
         """The key of the walk from each word."""
@@ -81,22 +106,43 @@ class Table:
             keys.append(self.walk(items[i])[:n])
             own.append(np.full(n, i))
             places.append(np.arange(n))
-        keys, own, places = map(np.concatenate, (keys, own, places))
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.items, self.places = keys[order], own[order], places[order]
-        self.bits = np.zeros(1 << max(16, int(len(keys)).bit_length() + 7), bool)
-        self.bits[(keys & U64(len(self.bits) - 1)).astype(np.int64)] = True
+        self.put(*map(np.concatenate, (keys, own, places)))
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Items and the words at which their first word would stand, for all equal keys."""
-        key = self.walk(words)
-        at = np.flatnonzero(self.bits[(key & U64(len(self.bits) - 1)).astype(np.int64)])
-        lo, hi = np.searchsorted(self.keys, key[at], "left"), np.searchsorted(self.keys, key[at], "right")
-        n = hi - lo
-        at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        entry = np.repeat(lo, n) + within
-        return self.items[entry], np.repeat(at, n) - self.places[entry]
+        return self.get(self.walk(words))
+
+
+class Pieces:
+    """Exact search: of an item's ``permitted + 1`` pieces, so many edits leave one as it is."""
+
+    def __init__(self, items: list[np.ndarray], permitted: np.ndarray, which: list[int]):
+        found: dict[int, list] = {}
+        for i in which:
+            cuts = np.linspace(0, len(items[i]), min(int(permitted[i]) + 1, len(items[i])) + 1).astype(int).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                m = min(b - a, MAX_PIECE)
+                found.setdefault(m, []).append((self._next(items[i][a : a + m], m), i, a))
+        self.by_length: dict[int, Keys] = {}
+        for m, rows in sorted(found.items()):
+            keys, own, places = zip(*rows, strict=True)
+            self.by_length[m] = Keys()
+            self.by_length[m].put(np.concatenate(keys), np.array(own, np.int64), np.array(places, np.int64))
+
+    @staticmethod
+    def _next(words: np.ndarray, length: int, key: np.ndarray | None = None, done: int = 0) -> np.ndarray:
+        """Keys of all runs of ``length`` words, from those of ``done`` words."""
+        key = np.zeros(len(words) + 1, U64) if key is None else key
+        for j in range(done, length):
+            key = key[:-1] * U64(0x9E3779B97F4A7C15) + words[j:]
+        return key
+
+    def hits(self, words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        out, key, done = [], None, 0
+        for m, keys in self.by_length.items():
+            if m <= len(words):
+                key, done = self._next(words, m, key, done), m
+                out.append(keys.get(key))
+        return out
 
 
 class Index:
@@ -113,31 +159,51 @@ class Index:
             if len(s) < MIN_WORDS:
                 self.short[s.tobytes()].append(i)
         self.tables: list[Table] = []
+        exact = []
         for low, high, length in ((MIN_WORDS, 12, 8), (12, 1 << 60, 12)):
             if which := [i for i, s in enumerate(self.items) if low <= len(s) < high]:
-                self._repeat(which, length, recall, seed + length)
+                few = [i for i in which if len(self.items[i]) < FEW]
+                exact += few
+                if which := sorted(set(which) - set(few)):
+                    exact += self._repeat(which, length, recall, seed + length)
+        self.pieces = Pieces(self.items, self.permitted, exact)
         width = int(self.size.max(initial=1))
         self.padded = np.zeros((len(self.items), width), np.uint32)
         for i, s in enumerate(self.items):
             self.padded[i, : len(s)] = s.astype(np.uint32) | np.uint32(1)
 
-    def _repeat(self, which: list[int], length: int, recall: float, seed: int) -> None:
-        """Adds tables until ``recall`` of simulated copies at the permitted distance share a key at their place."""
+    def _repeat(self, which: list[int], length: int, recall: float, seed: int) -> list[int]:
+        """Adds tables until of each level of lengths ``recall`` of simulated copies at the permitted distance share a key at their place (and
+        a standard error more, so that other copies do so too).  Returns the items of levels that don't come so far in MAX_TABLES."""
         rng = np.random.default_rng(seed)
         anchors = sum(len(self.items[i]) - length + 1 for i in which)
         n_sampled = 5 if anchors < 1 << 17 else 6
-        trials, found = [], []
-        for i in (which * (1 + 1000 // len(which)))[:1000]:
-            trials.append((i, _edited(self.items[i], int(self.permitted[i]), rng)))
-            found.append(False)
-        while sum(found) < recall * len(found) and len(self.tables) < MAX_TABLES or not found:
-            table = Table(seed * 1000 + len(self.tables), length, n_sampled)
+        levels: dict[int, list[int]] = {}
+        for i in which:
+            n = len(self.items[i])
+            levels.setdefault(n if n < 64 else 1 << n.bit_length(), []).append(i)
+        of, copies = [], []
+        for own in levels.values():
+            drawn = rng.choice(own, TRIALS, replace=len(own) < TRIALS).tolist()
+            of += drawn
+            copies.append([_edited(self.items[i], int(self.permitted[i]), rng) for i in drawn])
+        of, level = np.array(of), np.repeat(np.arange(len(levels)), TRIALS)
+        found = np.zeros(len(of), bool)
+        target = min(1.0, recall + (recall * (1 - recall) / TRIALS) ** 0.5)
+        added, lacking = 0, np.ones(len(levels), bool)
+        while lacking.any() and added < MAX_TABLES:
+            table = Table(seed * 1000 + added, length, n_sampled)
             table.index(self.items, which)
             self.tables.append(table)
-            for t, (i, words) in enumerate(trials):
-                if not found[t]:
-                    items, places = table.hits(words)
-                    found[t] = bool(((items == i) & (np.abs(places) <= self.permitted[i])).any())
+            added += 1
+            for k in np.flatnonzero(lacking).tolist():
+                first = np.cumsum([0, *[len(c) for c in copies[k]]])
+                items, places = table.hits(np.concatenate(copies[k]))
+                t = np.clip(np.searchsorted(first, places + self.size[items] // 2, "right") - 1, 0, TRIALS - 1)
+                right = (of[k * TRIALS + t] == items) & (np.abs(places - first[t]) <= self.permitted[items])
+                found[k * TRIALS + t[right]] = True
+            lacking &= np.bincount(level, found, len(levels)) < target * TRIALS
+        return [i for k, own in enumerate(levels.values()) if lacking[k] for i in own]
 
     def search(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, item, start word, edits) for each item in each text of a slice; of several places the best and first."""
@@ -147,7 +213,7 @@ class Index:
                 if 0 < b - a < MIN_WORDS:
                     for i in self.short.get(words[a:b].tobytes(), ()):
                         best[d, i] = (0, 0)
-        found = [t.hits(words) for t in self.tables] if len(words) else []
+        found = [*[t.hits(words) for t in self.tables], *self.pieces.hits(words)] if len(words) else []
         if found:
             items, places = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
             # keys of one text only: the walk's own word is the place plus an offset inside the item, so clip the place to the slice

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from tallyloom.llm import decontam
 
 
@@ -57,6 +58,40 @@ def test_planted_copies_against_brute_force(spark):
     assert kept == {d for d, _ in docs} - {d for d, _ in got}
 
 
+def recall_by_length(texts, n=150):
+    """Share of fresh copies at the largest permitted distance that are found, for each length of item."""
+    index, rng = decontam.Index(list(range(len(texts))), texts), np.random.default_rng(99)
+    own = {}
+    for i, x in enumerate(index.items):
+        own.setdefault(len(x), []).append(i)
+    out = {}
+    for size, which in own.items():
+        hits = 0
+        for i in rng.choice(which, n).tolist():
+            words = decontam._edited(index.items[i], int(index.permitted[i]), rng)
+            hits += any(j == i for _, j, *_ in index.search(words, np.array([0, len(words)])))
+        out[size] = hits / n
+    return out
+
+
+def invented(sizes):
+    rng = random.Random(8)
+    return [" ".join(f"v{rng.randrange(3000)}" for _ in range(n)) for n in sizes]
+
+
+def test_recall_holds_for_each_length():
+    got = recall_by_length(invented([16, 17, 20, 24, *range(26, 60, 3)] * 3))
+    assert min(got.values()) >= 0.95, got
+    got = recall_by_length(invented([12, 13, 14, *range(40, 200, 10)]))
+    assert min(got.values()) >= 0.95, got
+
+
+def test_lengths_beyond_the_tables_are_searched_exactly(monkeypatch):
+    monkeypatch.setattr(decontam, "MAX_TABLES", 0)
+    got = recall_by_length(invented([8, 12, 30, 60, 150]))
+    assert set(got.values()) == {1.0}
+
+
 def test_blocks_give_the_same(spark, monkeypatch):
     items = [(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(12)]
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
