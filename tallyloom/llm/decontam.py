@@ -39,8 +39,8 @@ from tallyloom.llm.shared import U64, bounded, lean, lowered, mix64, text_slices
 
 MIN_WORDS = 8
 BLOCK_BYTES = 16 << 20
-#: Tables for each length of walk; items that need more are searched for by pieces.
-MAX_TABLES = 48
+#: Steps of a walk, and walks; items that need more walks are searched for by pieces.
+WALK, MAX_TABLES = 12, 48
 #: Items of fewer words have few places to start a walk from, and are searched for by pieces; longest piece looked up.
 FEW, MAX_PIECE = 24, 8
 #: Simulated copies of each level of lengths: each length below 64 words, doubling ones beyond.
@@ -159,13 +159,9 @@ class Index:
             if len(s) < MIN_WORDS:
                 self.short[s.tobytes()].append(i)
         self.tables: list[Table] = []
-        exact = []
-        for low, high, length in ((MIN_WORDS, 12, 8), (12, 1 << 60, 12)):
-            if which := [i for i, s in enumerate(self.items) if low <= len(s) < high]:
-                few = [i for i in which if len(self.items[i]) < FEW]
-                exact += few
-                if which := sorted(set(which) - set(few)):
-                    exact += self._repeat(which, length, recall, seed + length)
+        exact = [i for i, s in enumerate(self.items) if MIN_WORDS <= len(s) < FEW]
+        if which := [i for i, s in enumerate(self.items) if len(s) >= FEW]:
+            exact += self._repeat(which, WALK, recall, seed + WALK)
         self.pieces = Pieces(self.items, self.permitted, exact)
         width = int(self.size.max(initial=1))
         self.padded = np.zeros((len(self.items), width), np.uint32)

@@ -92,6 +92,13 @@ def test_lengths_beyond_the_tables_are_searched_exactly(monkeypatch):
     assert set(got.values()) == {1.0}
 
 
+def test_short_items_leave_the_long_ones_their_tables():
+    got = recall_by_length(invented([8, 40, 60]))
+    assert min(got.values()) >= 0.95, got
+    got = recall_by_length(invented([8, 9, 10, 11, 12, 40, 100]))
+    assert min(got.values()) >= 0.95, got
+
+
 def test_blocks_give_the_same(spark, monkeypatch):
     items = [(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(12)]
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
