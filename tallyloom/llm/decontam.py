@@ -21,8 +21,8 @@ the item and the nearest part of the window must be at most ``max_edit`` of the
 The benchmark is sent to the tasks in blocks of at most ``BLOCK_BYTES`` of text, so whatever its size, what is broadcast is
 bounded; the corpus is scanned once per block.  The corpus itself is never shuffled.
 
-Nulls and edges: null and empty documents match nothing; items of no words are ignored; an item of fewer than ``MIN_WORDS`` words matches only a
-document that has just these words; repeated rows give repeated results; empty tables give an empty result.  Extra columns are kept by
+Nulls and edges: null and empty documents match nothing; items of no words are ignored; an item of fewer than ``MIN_WORDS`` words is found at
+any place by ``matches``, but ``clean`` drops for it only documents that have just these words; repeated rows give repeated results; empty tables give an empty result.  Extra columns are kept by
 ``clean`` and left out by ``matches``.
 """
 
@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.shared import U64, bounded, lean, lowered, mix64, text_slices, words_of
 
-MIN_WORDS = 8
+#: Words of the least item that ``clean`` looks for inside documents.
+MIN_WORDS = 5
 BLOCK_BYTES = 16 << 20
 #: Steps of a walk, and walks; items that need more walks are searched for by pieces.
 WALK, MAX_TABLES = 12, 48
@@ -154,12 +155,8 @@ class Index:
         self.ids, self.items = [ids[i] for i in kept], [seqs[i] for i in kept]
         self.size = np.array([len(s) for s in self.items], np.int64)
         self.permitted = np.floor(self.size * max_edit + 1e-9).astype(np.int64)
-        self.short = {s.tobytes(): [] for s in self.items if len(s) < MIN_WORDS}
-        for i, s in enumerate(self.items):
-            if len(s) < MIN_WORDS:
-                self.short[s.tobytes()].append(i)
         self.tables: list[Table] = []
-        exact = [i for i, s in enumerate(self.items) if MIN_WORDS <= len(s) < FEW]
+        exact = [i for i, s in enumerate(self.items) if len(s) < FEW]
         if which := [i for i, s in enumerate(self.items) if len(s) >= FEW]:
             exact += self._repeat(which, WALK, recall, seed + WALK)
         self.pieces = Pieces(self.items, self.permitted, exact)
@@ -204,11 +201,6 @@ class Index:
     def search(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, item, start word, edits) for each item in each text of a slice; of several places the best and first."""
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        if self.short:
-            for d, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
-                if 0 < b - a < MIN_WORDS:
-                    for i in self.short.get(words[a:b].tobytes(), ()):
-                        best[d, i] = (0, 0)
         found = [*[t.hits(words) for t in self.tables], *self.pieces.hits(words)] if len(words) else []
         if found:
             items, places = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
@@ -245,11 +237,13 @@ class Index:
                 start = max(int(lo[g]) + t - int(size[g]), int(first[doc[g]])) - int(first[doc[g]])
                 best[key] = min(best.get(key, (e, start)), (e, start))
 
-    def texts(self, column: pa.Array) -> Iterator[tuple[int, int, int, int]]:
+    def texts(self, column: pa.Array, whole: int = 0) -> Iterator[tuple[int, int, int, int]]:
+        """All that ``search`` finds; items of fewer than ``whole`` words only in texts that have just these words."""
         for lo, _, data, offsets in text_slices(lowered(column)):
             words, _, first = words_of(data, offsets)
             for d, i, s, e in self.search(words, first):
-                yield lo + d, i, s, e
+                if self.size[i] >= whole or (e == 0 and first[d + 1] - first[d] == self.size[i]):
+                    yield lo + d, i, s, e
 
 
 def infix_distance(item: np.ndarray, size: np.ndarray, window: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -332,7 +326,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                keep[[d for d, *_ in held.value.texts(batch.column(at))]] = False
+                keep[[d for d, *_ in held.value.texts(batch.column(at), MIN_WORDS)]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = bounded(docs).mapInArrow(lean(run), docs.schema)

@@ -108,6 +108,17 @@ def test_blocks_give_the_same(spark, monkeypatch):
     assert sorted(decontam.matches(df, benchmark).collect()) == whole and len(whole) == 12
 
 
+def test_items_of_few_words_inside_documents(spark):
+    items = ["who wrote this old play", "which river crosses the grey city", "yes", "blue cheese"]
+    texts = ["a b who wrote this old play c d", "a b who penned this old play c", "x which river crosses a grey city", "which river crosses grey city", "a yes b", "Yes!", "some blue cheese", "Blue cheese", "who wrote that new play", "blue or cheese"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.edits) for r in decontam.matches(df, benchmark).collect()}
+    assert got == {(0, 0, 0), (1, 0, 1), (2, 1, 1), (3, 1, 1), (4, 2, 0), (5, 2, 0), (6, 3, 0), (7, 3, 0)}
+    # items of fewer than MIN_WORDS words drop only documents that consist of them
+    assert {r.doc_id for r in decontam.clean(df, benchmark).collect()} == {4, 6, 8, 9}
+
+
 def test_edges(spark, docs, no_docs):
     benchmark = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog"), (None, "short"), (2, None), (3, ""), (4, "!!!"), (1, "The quick brown fox jumps over the lazy dog")], "item_id bigint, text string")
     got = decontam.matches(docs, benchmark).collect()
