@@ -6,9 +6,11 @@ three tokens over and over are one symbol for each period and length. Raw text i
 document: (the stratum's documents with the bucket + 1) / (what its share of all such counts makes expected + 1), or 1 where the two don't differ by
 ``SIGNIFICANT`` standard deviations. Buckets whose ratios to the target model are within a factor of ``TELLS`` count as alike, so that the many words
 of a long text don't add up to a verdict; and none counts for more than a factor of ``MOST``, so that one bucket, which n-grams share by chance,
-doesn't decide. Nor does a bucket speak against a text if a few groups of copies account for it: a sketch counts distinct least hashes of ``RUN``
-words, which copies share, among a stratum's documents with the bucket; there must be ``DISTINCT`` and a third of their number. A document's log
-weight is log p_target - log p_raw, with p_raw the mixture of the three by their shares of the labels.
+doesn't decide. Nor do copies add evidence against a text, or take any away: a sketch counts distinct least hashes of ``RUN`` words, which copies
+share, among the documents of ``low`` and of ``toxic`` with the bucket. There must be ``DISTINCT``. Where they are less than a third of the
+documents (a sketch alone can err by less), each group of copies counts once: ratio and significance are those of the distinct counts among the
+labelled documents with the bucket, and of what the strata's shares of all such counts make expected. A document's log weight is
+log p_target - log p_raw, with p_raw the mixture of the three by their shares of the labels.
 
 As many documents are drawn as the weights give a posterior of ``least_posterior`` or more of being target text (so a document goes only on strong
 evidence): those with the largest log weight plus ``temperature`` times a Gumbel number from the hash of seed and id, the top k in one pass of exact
@@ -179,19 +181,42 @@ def _summed(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_row(chunk, total)])
 
 
-def _ratios(mass: np.ndarray):
+def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of all documents and the strata's, and distinct ones of ``low`` and ``toxic``, of a range of buckets."""
+    got = np.frombuffer(zlib.decompress(_summed(table)["counts"][0].as_py()), np.int64).reshape(6, -1)
+    return got[:4], np.minimum(got[2:4], distinct(got[4:].view(U64)))
+
+
+def _once(counts: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Counts by stratum in which each group of copies counts once, where a stratum has less than a third distinct."""
+    return np.stack([counts[1], *(np.where(d < n / 3, d, n) for n, d in zip(counts[2:], apart, strict=True))])
+
+
+def _mass_once(table: pa.Table) -> pa.Table:
+    return pa.table(dict(zip(STRATA, _once(*_merged(table)).sum(1)[:, None], strict=True)))
+
+
+def _log_ratios(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    ratio = np.log((seen + 1) / (expected + 1))
+    ratio[np.abs(seen - expected) < SIGNIFICANT * np.sqrt(expected + 1)] = 0.0
+    return ratio
+
+
+def _ratios(mass: np.ndarray, mass_once: np.ndarray):
     """log ratio of ``low`` and of ``toxic`` to ``target``, of a range of buckets; only those that aren't 0."""
 
     def run(table: pa.Table) -> pa.Table:
-        counts = np.frombuffer(zlib.decompress(_summed(table)["counts"][0].as_py()), np.int64).reshape(6, -1)
-        counts, sketches = counts[:4], counts[4:].view(U64)
-        expected = counts[0][None, :] * (mass[1:, None] / max(mass[0], 1))
-        seen = counts[1:]
-        ratio = np.log((seen + 1) / (expected + 1))
-        ratio[np.abs(seen - expected) < SIGNIFICANT * np.sqrt(expected + 1)] = 0.0
-        low, toxic = (np.where(np.abs(r - ratio[0]) < np.log(TELLS), 0.0, np.clip(r - ratio[0], -np.log(MOST), np.log(MOST))) for r in ratio[1:])
-        for r, n, sketch in ((low, seen[1], sketches[0]), (toxic, seen[2], sketches[1])):
-            r[(r > 0) & (distinct(sketch) < np.maximum(DISTINCT, n / 3))] = 0.0
+        counts, apart = _merged(table)
+        ratio = _log_ratios(counts[1:], counts[0][None, :] * (mass[1:, None] / max(mass[0], 1)))
+        seen = _once(counts, apart)
+        once = _log_ratios(seen, seen.sum(0)[None, :] * (mass_once[:, None] / max(mass_once.sum(), 1)))
+        tells = []
+        for s, d in zip((1, 2), apart, strict=True):
+            r = np.where(d < counts[s + 1] / 3, once[s] - once[0], ratio[s] - ratio[0])
+            r = np.where(np.abs(r) < np.log(TELLS), 0.0, np.clip(r, -np.log(MOST), np.log(MOST)))
+            r[(r > 0) & (d < DISTINCT)] = 0.0
+            tells.append(r)
+        low, toxic = tells
         at = np.flatnonzero((low != 0) | (toxic != 0))
         return pa.table({"bucket": pa.array(at + table["chunk"][0].as_py() * CHUNK, pa.int64()), "low": low[at], "toxic": toxic[at]})
 
@@ -211,7 +236,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         n, mass = n + got[0], mass + got[1]
     model = {"shares": n[1:] / max(n[1:].sum(), 1), "bucket": np.zeros(0, np.int64), "low": np.zeros(0), "toxic": np.zeros(0)}
     if n[1]:
-        got = parts.where("chunk >= 0").groupBy("chunk").applyInArrow(_ratios(mass), "bucket bigint, low double, toxic double").toArrow()
+        by_chunk = parts.where("chunk >= 0").groupBy("chunk")
+        # of sums in any order, to the same last digit
+        sums = by_chunk.applyInArrow(_mass_once, ", ".join(f"{s} double" for s in STRATA)).toArrow()
+        once = np.round([np.sort(sums[s].to_numpy()).sum() for s in STRATA])
+        got = by_chunk.applyInArrow(_ratios(mass, once), "bucket bigint, low double, toxic double").toArrow()
         order = np.argsort(got["bucket"].to_numpy())
         model |= {k: got[k].to_numpy()[order] for k in ("bucket", "low", "toxic")}
     held.unpersist()

@@ -69,6 +69,42 @@ def test_distinct_sketch_counts_texts_not_copies():
     assert 300 < count([f"words {i} of {i * 7} own" for i in range(1000)]) < 4000
 
 
+def copied(n_copies, seed=1):
+    """Prose, a tenth with toxic words, and copies of one toxic text: as ``corpus``, and which ids are copies."""
+    docs, labels = corpus(seed=seed)
+    words = [random.Random(5).choice(GOOD) for _ in range(120)]
+    for at in range(10, 90, 10):
+        words[at] = f"slur{at // 10 - 1}"
+    n = len(docs)
+    docs += [(n + i, " ".join(words)) for i in range(n_copies)]
+    labels += [(n + i, 1, 1) for i in range(n_copies)]
+    return docs, labels, n
+
+
+@pytest.mark.parametrize("n_copies", [0, 2500])
+def test_copies_take_no_evidence_away(spark, n_copies):
+    docs, labels, n = copied(n_copies)
+    df, marks = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    keep = {r.doc_id: r.keep for r in quality.weights(df, marks).collect()}
+    toxic = [keep[i] for i, _, t in labels if t and i < n]
+    good = [keep[i] for i, q, t in labels if q and not t]
+    assert not any(keep[i] for i in range(n, n + n_copies))
+    assert sum(toxic) <= 0.05 * len(toxic) and sum(good) >= 0.96 * len(good)
+
+
+def test_copies_alone_are_no_evidence(spark):
+    docs, labels = corpus()
+    n = len(docs)
+    # many copies of one text of prose that is labelled toxic, and no other sign of it
+    own = " ".join(random.Random(6).choice(GOOD) for _ in range(120))
+    docs = docs + [(n + i, own) for i in range(2500)]
+    labels = labels + [(n + i, 1, 1) for i in range(2500)]
+    df, marks = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    keep = {r.doc_id: r.keep for r in quality.weights(df, marks).collect()}
+    good = [keep[i] for i, q, t in labels if q and not t]
+    assert sum(good) >= 0.96 * len(good)
+
+
 def test_edges(spark, docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, None, 0), (None, 1, 0), (99, 1, 1), (8, 1, None)], "doc_id bigint, quality int, toxic int")
     got = quality.weights(docs, labels).collect()
