@@ -12,6 +12,9 @@ candidate is hashed, and the hashes are counted over the whole corpus by distinc
 A value of ``min_owners`` owners or more is a widely copied example; a rarer one is owner-specific and, with 16 or more
 characters including digits and letters, live-looking.  Only ``wide`` spans that are live-looking are added.
 
+``redact`` replaces owner-specific values: ``wide`` ones that are live-looking, and those of base kinds whatever their shape, but for
+obvious placeholders: one character over and over, or nothing but runs of four or more successive letters or digits (``abcdefgh12345``).
+
 Counting is map-side combined (a value that a third of all rows hold becomes one row per task), and the join back is
 a sort-merge join whose skewed partitions are split at run time.  Texts are never shuffled.
 
@@ -57,6 +60,11 @@ def _spans(text: Column, pattern: str, kind: int, maybe: Column, group: int = 0)
     return F.when(maybe, F.aggregate(found, start, step)["out"]).otherwise(F.array().cast(SPAN))
 
 
+#: Runs of four or more successive letters or digits.
+_RUNS = "(?:" + "|".join(r[a : a + n] for r in ("abcdefghijklmnopqrstuvwxyz", "01234567890") for n in range(len(r), 3, -1) for a in range(len(r) - n + 1)) + ")+"
+PLACEHOLDER = rf"^(?:(.)\1*|{_RUNS})$"
+
+
 def candidates(text: Column) -> dict[str, Column]:
     low = F.lower(text)
     keyword = (F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & (
@@ -97,12 +105,13 @@ def candidate_table(docs: DataFrame, *, id_col: str, text_col: str, repo: Column
 
 
 def judged(table: DataFrame, min_owners: int = 3) -> DataFrame:
-    """One row per candidate span: doc_id, text_key, span, and ``live`` or not by the corpus-wide counts of its hash."""
+    """One row per candidate span: doc_id, text_key, span, and ``live`` or not, and ``secret`` (to be redacted) or not, by the corpus-wide counts of its hash."""
     each = table.where(F.col("text_key").isNotNull()).select("doc_id", "text_key", "repo", "owner", F.explode(F.concat("base", "extra")).alias("x"))
     each = each.withColumn("h", F.md5("x.v"))
     counts = each.groupBy("h").agg(F.count_distinct("repo").alias("n_repos"), F.count_distinct("owner").alias("n_owners"))
     looks = (F.length("x.v") >= 16) & F.col("x.v").rlike("[0-9]") & F.col("x.v").rlike("[A-Za-z]") | F.contains("x.v", F.lit("PRIVATE KEY-----"))
-    return each.join(counts, "h").select("doc_id", "text_key", "x", "n_repos", "n_owners", (F.col("n_owners") >= min_owners).alias("example"), ((F.col("n_owners") < min_owners) & looks).alias("live"))
+    secret = F.when(F.col("x.k") == 3, looks).otherwise(~F.lower("x.v").rlike(PLACEHOLDER))
+    return each.join(counts, "h").select("doc_id", "text_key", "x", "n_repos", "n_owners", (F.col("n_owners") >= min_owners).alias("example"), ((F.col("n_owners") < min_owners) & looks).alias("live"), ((F.col("n_owners") < min_owners) & secret).alias("secret"))
 
 
 def per_text(spans: DataFrame) -> DataFrame:
@@ -110,6 +119,7 @@ def per_text(spans: DataFrame) -> DataFrame:
     return spans.groupBy("doc_id", "text_key").agg(
         F.collect_set(F.when(F.col("live") & (F.col("x.k") == 3), F.col("x"))).alias("added"),
         F.collect_set(F.when(F.col("live"), F.struct((F.col("x.e") - F.length("x.v")).alias("s"), F.col("x.e").alias("e")))).alias("live"),
+        F.collect_set(F.when(F.col("secret"), F.struct((F.col("x.e") - F.length("x.v")).alias("s"), F.col("x.e").alias("e")))).alias("secret"),
         F.size(F.collect_set(F.when(F.col("example"), F.col("x")))).cast("long").alias("n_example"),
     )
 
@@ -129,13 +139,13 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rep
 
 
 def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", repo: Column | None = None, owner: Column | None = None, min_owners: int = 3, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with the values of live-looking owner-specific credentials replaced by ``mark``; widely copied examples stay.
+    """``docs`` with the values of owner-specific credentials replaced by ``mark``; widely copied examples stay.
 
     Only texts with a live value are joined to their spans; Spark broadcasts that table if it is under its threshold.
     """
     table = candidate_table(docs, id_col=id_col, text_col=text_col, repo=F.col(id_col) if repo is None else repo, owner=F.col("source") if owner is None else owner)
     of, key, live = free_names(docs, "_id", "_key", "_live")
-    marks = written(per_text(judged(table, min_owners)).where(F.size("live") > 0).select(F.col("doc_id").alias(of), F.col("text_key").alias(key), F.array_sort("live").alias(live)), "secrets-live")
+    marks = written(per_text(judged(table, min_owners)).where(F.size("secret") > 0).select(F.col("doc_id").alias(of), F.col("text_key").alias(key), F.array_sort("secret").alias(live)), "secrets-live")
     text = F.col(f"`{text_col}`")
     hit = docs.join(marks, F.col(id_col).eqNullSafe(F.col(of)) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(key)), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

@@ -53,6 +53,25 @@ def test_ownership(spark):
     assert clean[10] == "mine is [SECRET] ok" and clean[0] == rows[0][1]
 
 
+def test_redaction_takes_base_values_of_any_shape(spark):
+    key = "AKIA" + "QWERTZUIOPASDFGH"
+    texts = {
+        "the password: S3cretPw9 ok": "the password: [SECRET] ok",
+        "token=correcthorsebatterystaple": "token=[SECRET]",
+        "secret = 90210777123499": "secret = [SECRET]",
+        f"use {key} now": "use [SECRET] now",
+        f"hex {'deadbeef' * 3 + 'cafebabe'}.": "hex [SECRET].",
+        "password=xxxxxxxxxxxx": "password=xxxxxxxxxxxx",
+        "password=ABCDEFGH12345": "password=ABCDEFGH12345",
+        "nothing " + "a-b" * 20: "nothing " + "a-b" * 20,
+    }
+    rows = [(i, t, "one") for i, t in enumerate(texts)] + [(100 + i, "password: changeme123", f"s{i}") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+    assert got[100] == "password: changeme123"
+
+
 def test_edges(docs, no_docs):
     got = secrets.scan(docs).collect()
     assert len(got) == docs.count()
