@@ -12,7 +12,7 @@ candidate is hashed, and the hashes are counted over the whole corpus by distinc
 A value of ``min_owners`` owners or more is a widely copied example; a rarer one is owner-specific and, with 16 or more
 characters including digits and letters, live-looking.  Only ``wide`` spans that are live-looking are added.
 
-``redact`` replaces owner-specific values: ``wide`` ones that are live-looking, and those of base kinds whatever their shape, but for
+``redact`` replaces live-looking owner-specific values; with ``any_shape`` also those of base kinds whatever their shape, but for
 obvious placeholders: one character over and over, or nothing but runs of four or more successive letters or digits (``abcdefgh12345``).
 
 Counting is map-side combined (a value that a third of all rows hold becomes one row per task), and the join back is
@@ -138,14 +138,15 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rep
     )
 
 
-def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", repo: Column | None = None, owner: Column | None = None, min_owners: int = 3, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with the values of owner-specific credentials replaced by ``mark``; widely copied examples stay.
+def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", repo: Column | None = None, owner: Column | None = None, min_owners: int = 3, mark: str = "[SECRET]", any_shape: bool = False) -> DataFrame:
+    """``docs`` with the values of live-looking (with ``any_shape`` all) owner-specific credentials replaced by ``mark``; widely copied examples stay.
 
     Only texts with a live value are joined to their spans; Spark broadcasts that table if it is under its threshold.
     """
     table = candidate_table(docs, id_col=id_col, text_col=text_col, repo=F.col(id_col) if repo is None else repo, owner=F.col("source") if owner is None else owner)
     of, key, live = free_names(docs, "_id", "_key", "_live")
-    marks = written(per_text(judged(table, min_owners)).where(F.size("secret") > 0).select(F.col("doc_id").alias(of), F.col("text_key").alias(key), F.array_sort("secret").alias(live)), "secrets-live")
+    which = "secret" if any_shape else "live"
+    marks = written(per_text(judged(table, min_owners)).where(F.size(which) > 0).select(F.col("doc_id").alias(of), F.col("text_key").alias(key), F.array_sort(which).alias(live)), "secrets-live")
     text = F.col(f"`{text_col}`")
     hit = docs.join(marks, F.col(id_col).eqNullSafe(F.col(of)) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(key)), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

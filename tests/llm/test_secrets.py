@@ -67,7 +67,7 @@ def test_redaction_takes_base_values_of_any_shape(spark):
     }
     rows = [(i, t, "one") for i, t in enumerate(texts)] + [(100 + i, "password: changeme123", f"s{i}") for i in range(3)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    got = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    got = {r.doc_id: r.text for r in secrets.redact(df, any_shape=True).collect()}
     assert [got[i] for i in range(len(texts))] == list(texts.values())
     assert got[100] == "password: changeme123"
 
