@@ -1,50 +1,54 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, and a Gumbel top-k draw.
 
 A document is the set of its hashed word unigrams and bigrams, words and runs of punctuation being tokens, lower case; n-grams that repeat one, two or
-three tokens over and over are one symbol for each period and length. Raw text is a mixture of three models, the strata that the labels show:
-``target`` (good and not toxic), ``low`` and ``toxic``. Each model is a ratio per bucket to the model of the whole corpus, which counts every
-document: (the stratum's documents with the bucket + 1) / (what its share of all such counts makes expected + 1), or 1 where the two don't differ by
-``SIGNIFICANT`` standard deviations. Buckets whose ratios to the target model are within a factor of ``TELLS`` count as alike, so that the many words
-of a long text don't add up to a verdict; and none counts for more than a factor of ``MOST``, so that one bucket, which n-grams share by chance,
-doesn't decide. Nor do copies add evidence against a text, or take any away: a sketch counts distinct least hashes of ``RUN`` words, which copies
-share, among the documents of ``low`` and of ``toxic`` with the bucket. There must be ``DISTINCT``. Where they are less than a third of the
-documents (a sketch alone can err by less), each group of copies counts once: ratio and significance are those of the distinct counts among the
-labelled documents with the bucket, and of what the strata's shares of all such counts make expected. A document's log weight is
-log p_target - log p_raw, with p_raw the mixture of the three by their shares of the labels.
-
-As many documents are drawn as the weights give a posterior of ``least_posterior`` or more of being target text (so a document goes only on strong
-evidence): those with the largest log weight plus ``temperature`` times a Gumbel number from the hash of seed and id, the top k in one pass of exact
-threshold search. At the default temperature the draw decides close cases only; at 1 it samples in proportion to the weights.
-
-What is gathered: for each task counts of 2 * ``BUCKETS`` buckets, summed in two steps by ranges of buckets; only buckets with a ratio other than 1
-reach the driver. Labels are a bounded sample, the ``max_labels`` rows of the least hash. Texts are never shuffled.
+three tokens over and over are one symbol for each period and length. Two multinomial models over ``2 * BUCKETS`` buckets generate such sets: ``raw``, the
+counts of all documents, and ``target``, those of the documents labelled good and not toxic. A document's log weight is log p_target - log p_raw, the sum
+over its buckets of log((target's count + 1) / (the count that the raw model makes expected in the target's labelled text + 1)).
+
+The models count as alike in all buckets but those that show what target text lacks, so that the many words of a long text don't add up to a verdict:
+
+* the labelled documents that aren't target have the bucket ``DISTINCT`` times or more, and for their size ``TELLS`` times as often as the target's;
+* the target has it by a factor of ``TELLS`` less often than raw text, and by ``SIGNIFICANT`` standard deviations.
+
+None counts for more than a factor of ``MOST``, so that one n-gram alone leaves a chance. Among the labelled documents a group
+of copies counts once: each counts for one over the number of those of its label that share its least hash of ``RUN`` tokens. So copies neither add
+evidence nor take any away.
+
+``k`` documents are drawn without replacement in proportion to their weights: those with the largest log weight plus ``temperature`` (1) times a Gumbel
+number from the hash of seed and id, by an exact search for the k-th largest key. Without a given ``k`` it is the sum of min(1, p_target / p_raw), the
+number that rejection sampling from raw text would accept.
+
+What is gathered: a bucket can tell only if the documents that aren't target have it, so their counts come first (labelled rows only), and the counts of
+all documents only for the buckets that pass ``DISTINCT``. Both are sums in DataFrames, combined in the tasks. Labels are a bounded sample, the
+``max_labels`` rows of the least hash; so what is broadcast, labels and buckets that may tell, is bounded by them. Texts are never shuffled (but where
+repeated ids give more than ``BROADCAST_ROWS`` labelled rows).
 
 Nulls and edges: a null text is empty; an empty text has no evidence and weight 1; a null id draws from the empty string and has no label unless a
 label's id is null; labels with nulls or of ids without a document count for nothing; a document with several labels takes the worst; repeated rows
-draw alike; equal keys at the threshold all stay; without any target label every weight is 1 and all stay; an empty table gives an empty result. Extra
-columns are kept by ``keep`` and left out by ``weights``.
+draw alike; a very long text is one row and read whole; equal keys at the threshold all stay; without labels of both kinds every weight is 1 and all
+stay; an empty table gives an empty result. Extra columns, whatever their names, are kept by ``keep`` and left out by ``weights``.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tallyloom.llm.shared import U64, bounded, free_names, lean, lowered, mix64, span_hashes, text_slices, unit_hash, word_bytes, written
 
-BITS = 20
+BITS = 40
 BUCKETS = 1 << BITS
-#: Buckets summed together.
-CHUNK = 1 << 15
-SIGNIFICANT, TELLS, MOST, DISTINCT, RUN = 5.0, 10.0, 30.0, 8, 5
-STRATA = ("target", "low", "toxic")
-ADDED = ("_id", "_log_weight", "_likely", "_key")
+SIGNIFICANT, TELLS, MOST, DISTINCT, RUN = 5.0, 10.0, 100.0, 8, 5
+ADDED = ("_id", "_log_weight", "_key")
+#: Labelled rows (8 bytes and a weight each) up to which they are broadcast.
+BROADCAST_ROWS = 1_000_000
+#: (bucket, weight) pairs that a task gathers before it hands them on.
+GATHERED = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -84,9 +88,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return both >> (BITS + 1), both & (2 * BUCKETS - 1)
 
 
-def sketch_bits(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each text one of 64 bits by the least hash of its runs of ``RUN`` tokens, which copies share and other texts don't: one of 4 lanes, and in it
-    bit r with probability 2**-(r+1) (Flajolet and Martin's sketch).  A shorter text goes by its tokens' sum."""
+def least_runs(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each text the least hash of its runs of ``RUN`` tokens, which copies share and other texts don't; a shorter text goes by its tokens' sum."""
     words, first = tokens_of(data, offsets)
     n = np.diff(first)
     runs = words.copy()
@@ -97,179 +100,159 @@ def sketch_bits(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     least, some = np.zeros(len(n), U64), np.flatnonzero(n)
     if len(some):
         least[some] = np.where(n[some] >= RUN, np.minimum.reduceat(runs, first[some]), np.add.reduceat(words, first[some]))
-    h = mix64(least)
-    low = h >> U64(2) | U64(1 << 15)
-    rank = np.log2((low & (~low + U64(1))).astype(float)).astype(U64)
-    return U64(1) << (U64(16) * (h & U64(3)) + np.minimum(rank, U64(15)))
+    return least
 
 
-def distinct(sketch: np.ndarray) -> np.ndarray:
-    """About how many distinct texts a sketch has seen."""
-    ranks = np.zeros(sketch.shape)
-    for lane in range(4):
-        bits = ~(sketch >> U64(16 * lane)) & U64(0xFFFF) | U64(1 << 16)
-        ranks += np.log2((bits & (~bits + U64(1))).astype(float))
-    return 4 / 0.77351 * (2.0 ** (ranks / 4) - 2.0 ** (-1.75 * ranks / 4))
+class Lookup:
+    """Places of values in a sorted array, most misses told by a small table of bits."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[values & (len(self.maybe) - 1)] = True
+
+    def find(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``asked`` are there, and where."""
+        which = np.flatnonzero(self.maybe[asked & (len(self.maybe) - 1)])
+        at = np.searchsorted(self.values, asked[which])
+        right = self.values[np.minimum(at, len(self.values) - 1)] == asked[which] if len(self.values) else np.zeros(0, bool)
+        return which[right], at[right]
 
 
 def _key(column: Column) -> Column:
     return F.xxhash64(column)
 
 
-def strata(labels: DataFrame, max_labels: int, *, id_col: str = "doc_id") -> tuple[np.ndarray, np.ndarray]:
-    """Hashed ids in ascending order and their stratum's number, of a bounded sample of the labels."""
+def sample(labels: DataFrame, max_labels: int, *, id_col: str = "doc_id") -> DataFrame:
+    """(k, bad): hashed ids of a bounded sample of the labels, and whether they aren't target; written."""
     rows = labels.where(F.col("quality").isNotNull() & F.col("toxic").isNotNull())
-    stratum = F.when(F.col("quality").cast("int") == 0, 1).when(F.col("toxic").cast("int") == 1, 2).otherwise(0)
-    rows = rows.groupBy(_key(F.col(id_col)).alias("k")).agg(F.max(F.when(stratum == 1, 3).otherwise(stratum)).alias("s"))
+    bad = (F.col("quality").cast("int") == 0) | (F.col("toxic").cast("int") == 1)
+    rows = rows.groupBy(_key(F.col(f"`{id_col}`")).alias("k")).agg(F.max(bad).alias("bad"))
     # a first cut by hash keeps what each task hands on small, however many labels there are
     share = min(1.0, 1.2 * max_labels / max(rows.count(), 1))
     rows = rows.where(F.pmod(F.xxhash64("k"), F.lit(1 << 32)) < F.lit(int(share * (1 << 32))))
-    got = rows.orderBy(F.xxhash64("k"), "k").limit(max_labels).toArrow()
-    keys, which = got["k"].to_numpy(), got["s"].to_numpy().astype(np.int64)
-    which = np.where(which == 3, 1, which)
-    order = np.argsort(keys)
-    return keys[order], which[order]
-
-
-def _counter(held):
-    """Per task and range of buckets: how many documents have each bucket, in all and by stratum."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, which = held.value
-        counts, docs = np.zeros((4, 2 * BUCKETS), np.int32), np.zeros((2, 4), np.int64)
-        seen = np.zeros((2, 2 * BUCKETS), U64)
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            at = np.minimum(np.searchsorted(keys, ids), max(len(keys) - 1, 0))
-            stratum = np.where(keys[at] == ids, which[at], -1) if len(keys) else np.full(len(ids), -1)
-            docs[0] += np.bincount(stratum + 1, minlength=4)
-            for lo, hi, data, offsets in text_slices(lowered(batch.column(1))):
-                if not len(data):
-                    continue
-                text, bucket = features(data, offsets)
-                np.add.at(counts[0], bucket, 1)
-                own = stratum[lo:hi][text]
-                bits = sketch_bits(data, offsets)
-                for s in range(3):
-                    at = own == s
-                    np.add.at(counts[s + 1], bucket[at], 1)
-                    if s:
-                        np.bitwise_or.at(seen[s - 1], bucket[at], bits[text[at]])
-        if not docs.sum():
-            return
-        docs[0, 0], docs[1] = docs[0].sum(), counts.sum(1, dtype=np.int64)
-        yield _row(-1, docs)
-        for c in range(2 * BUCKETS // CHUNK):
-            at = slice(c * CHUNK, (c + 1) * CHUNK)
-            if counts[0, at].any():
-                yield _row(c, np.concatenate([counts[:, at].astype(np.int64), seen[:, at].view(np.int64)]))
-
-    return run
+    return written(rows.orderBy(F.xxhash64("k"), "k").limit(max_labels), "quality-labels")
 
 
-def _row(chunk: int, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([zlib.compress(counts.astype(np.int64).tobytes(), 1)], pa.binary())], ["chunk", "counts"])
+def _copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (row, bad, t): row, bad and the text's least run."""
+    for batch in batches:
+        least = [least_runs(data, offsets) if len(data) else np.zeros(hi - lo, U64) for lo, hi, data, offsets in text_slices(lowered(batch.column(2)))]
+        if least:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.concatenate(least).view(np.int64))], ["row", "bad", "copy"])
 
 
-def _summed(table: pa.Table) -> pa.Table:
-    """Adds up counts; the last two rows of a range of buckets are sketches, whose bits are united."""
-    chunk = table["chunk"][0].as_py()
-    total = 0
-    for x in table["counts"]:
-        got = np.frombuffer(zlib.decompress(x.as_py()), np.int64).reshape(2 if chunk < 0 else 6, -1)
-        total = total + got if chunk < 0 or isinstance(total, int) else np.concatenate([total[:4] + got[:4], total[4:] | got[4:]])
-    return pa.Table.from_batches([_row(chunk, total)])
+def labelled(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, max_labels: int) -> DataFrame:
+    """(row, bad, weight) of the labelled rows of ``docs``, row being a hash of id and text: one over the copies of a text with the same label; written."""
+    rows = _rows(docs, id_col, text_col).join(F.broadcast(sample(labels, max_labels)), "k").select("row", "bad", "t")
+    marks = written(bounded(rows).mapInArrow(lean(_copied), "row bigint, bad boolean, copy bigint"), "quality-copies")
+    sizes = marks.groupBy("bad", "copy").agg(F.count("*").alias("n"))
+    return written(marks.distinct().join(sizes, ["bad", "copy"]).select("row", "bad", (1 / F.col("n")).alias("weight")), "quality-labelled")
 
 
-def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of all documents and the strata's, and distinct ones of ``low`` and ``toxic``, of a range of buckets."""
-    got = np.frombuffer(zlib.decompress(_summed(table)["counts"][0].as_py()), np.int64).reshape(6, -1)
-    return got[:4], np.minimum(got[2:4], distinct(got[4:].view(U64)))
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    key, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return docs.select(_key(key).alias("k"), F.xxhash64(key, text).alias("row"), text.alias("t"))
 
 
-def _once(counts: np.ndarray, apart: np.ndarray) -> np.ndarray:
-    """Counts by stratum in which each group of copies counts once, where a stratum has less than a third distinct."""
-    return np.stack([counts[1], *(np.where(d < n / 3, d, n) for n, d in zip(counts[2:], apart, strict=True))])
+def _weighed(bucket: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each bucket once, with its sum."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, weight = bucket[order], weight[order]
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    return bucket[first], np.add.reduceat(weight, first) if len(first) else weight
 
 
-def _mass_once(table: pa.Table) -> pa.Table:
-    return pa.table(dict(zip(STRATA, _once(*_merged(table)).sum(1)[:, None], strict=True)))
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (t, weight): sums of the weights by bucket, and of all buckets as bucket -1; handed on each time that ``GATHERED`` pairs are there."""
+    buckets, weights = [], []
 
+    def handed() -> pa.RecordBatch:
+        b, w = _weighed(np.concatenate(buckets), np.concatenate(weights))
+        buckets.clear(), weights.clear()
+        return pa.RecordBatch.from_arrays([pa.array(np.append(b, -1)), pa.array(np.append(w, w.sum()))], ["bucket", "w"])
 
-def _log_ratios(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
-    ratio = np.log((seen + 1) / (expected + 1))
-    ratio[np.abs(seen - expected) < SIGNIFICANT * np.sqrt(expected + 1)] = 0.0
-    return ratio
+    for batch in batches:
+        each = batch.column(1).to_numpy()
+        for lo, hi, data, offsets in text_slices(lowered(batch.column(0))):
+            if len(data):
+                text, bucket = features(data, offsets)
+                b, w = _weighed(bucket, each[lo:hi][text])
+                buckets.append(b), weights.append(w)
+                if sum(map(len, buckets)) >= GATHERED:
+                    yield handed()
+    if buckets:
+        yield handed()
 
 
-def _ratios(mass: np.ndarray, mass_once: np.ndarray):
-    """log ratio of ``low`` and of ``toxic`` to ``target``, of a range of buckets; only those that aren't 0."""
+def _tallied(held):
+    """Of (t, weight or null): all documents with each bucket asked for, sums of the weights, and both of all buckets as bucket -1."""
 
-    def run(table: pa.Table) -> pa.Table:
-        counts, apart = _merged(table)
-        ratio = _log_ratios(counts[1:], counts[0][None, :] * (mass[1:, None] / max(mass[0], 1)))
-        seen = _once(counts, apart)
-        once = _log_ratios(seen, seen.sum(0)[None, :] * (mass_once[:, None] / max(mass_once.sum(), 1)))
-        tells = []
-        for s, d in zip((1, 2), apart, strict=True):
-            r = np.where(d < counts[s + 1] / 3, once[s] - once[0], ratio[s] - ratio[0])
-            r = np.where(np.abs(r) < np.log(TELLS), 0.0, np.clip(r, -np.log(MOST), np.log(MOST)))
-            r[(r > 0) & (d < DISTINCT)] = 0.0
-            tells.append(r)
-        low, toxic = tells
-        at = np.flatnonzero((low != 0) | (toxic != 0))
-        return pa.table({"bucket": pa.array(at + table["chunk"][0].as_py() * CHUNK, pa.int64()), "low": low[at], "toxic": toxic[at]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = held.value
+        size = len(asked.values)
+        count, weight, mass = np.zeros(size, np.int64), np.zeros(size), np.zeros(2)
+        for batch in batches:
+            each = batch.column(1).fill_null(0.0).to_numpy()
+            for lo, hi, data, offsets in text_slices(lowered(batch.column(0))):
+                if len(data):
+                    text, bucket = features(data, offsets)
+                    own = each[lo:hi]
+                    mass += len(bucket), (np.bincount(text, minlength=hi - lo) * own).sum()
+                    which, at = asked.find(bucket)
+                    count += np.bincount(at, minlength=size)
+                    weight += np.bincount(at, own[text[which]], size)
+        some = np.flatnonzero(count)
+        if mass[0]:
+            columns = np.append(asked.values[some], -1), np.append(count[some], int(mass[0])), np.append(weight[some], mass[1])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "n", "w"])
 
     return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 200_000) -> dict:
-    """The model: strata's shares and, for each bucket that tells, the log ratios to the target model."""
-    sc = docs.sparkSession.sparkContext
-    held = sc.broadcast(strata(labels, max_labels))
-    rows = docs.select(_key(F.col(id_col)).alias("k"), F.col(text_col).cast("string").alias("t"))
-    parts = bounded(rows).mapInArrow(lean(_counter(held)), "chunk int, counts binary").withColumn("half", F.spark_partition_id() % 64)
-    parts = written(parts.groupBy("chunk", "half").applyInArrow(_summed, "chunk int, counts binary"), "quality-counts")
-    n, mass = np.zeros(4, np.int64), np.zeros(4, np.int64)
-    for r in parts.where("chunk = -1").collect():
-        got = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64).reshape(2, 4)
-        n, mass = n + got[0], mass + got[1]
-    model = {"shares": n[1:] / max(n[1:].sum(), 1), "bucket": np.zeros(0, np.int64), "low": np.zeros(0), "toxic": np.zeros(0)}
-    if n[1]:
-        by_chunk = parts.where("chunk >= 0").groupBy("chunk")
-        # of sums in any order, to the same last digit
-        sums = by_chunk.applyInArrow(_mass_once, ", ".join(f"{s} double" for s in STRATA)).toArrow()
-        once = np.round([np.sort(sums[s].to_numpy()).sum() for s in STRATA])
-        got = by_chunk.applyInArrow(_ratios(mass, once), "bucket bigint, low double, toxic double").toArrow()
-        order = np.argsort(got["bucket"].to_numpy())
-        model |= {k: got[k].to_numpy()[order] for k in ("bucket", "low", "toxic")}
+    """The buckets in which the models differ, in order, and log p_target - log p_raw of each."""
+    spark = docs.sparkSession
+    marks = labelled(docs, labels, id_col=id_col, text_col=text_col, max_labels=max_labels)
+    model = {"bucket": np.zeros(0, np.int64), "log_ratio": np.zeros(0)}
+    n = {r.bad: r["count"] for r in marks.groupBy("bad").count().collect()}
+    if len(n) < 2:
+        return model
+    small = F.broadcast if sum(n.values()) <= BROADCAST_ROWS else (lambda df: df)
+    rows = _rows(docs, id_col, text_col).select("row", "t")
+    bad = rows.join(small(marks.where("bad").select("row", "weight")), "row").select("t", "weight")
+    # sums in any order are equal to the sixth place
+    sums = bounded(bad).mapInArrow(lean(_counted), "bucket bigint, w double").groupBy("bucket").agg(F.round(F.sum("w"), 6).alias("bad"))
+    sums = sums.where((F.col("bad") >= DISTINCT) | (F.col("bucket") < 0)).toArrow().sort_by("bucket")
+    if sums.num_rows < 2:
+        return model
+    n_bad, mass_bad = sums["bad"].to_numpy()[1:], sums["bad"].to_numpy()[0]
+    asked = Lookup(sums["bucket"].to_numpy()[1:])
+    held = spark.sparkContext.broadcast(asked)
+    every = rows.join(small(marks.where("not bad").select("row", "weight")), "row", "left").select("t", "weight")
+    tally = bounded(every).mapInArrow(lean(_tallied(held)), "bucket bigint, n bigint, w double")
+    tally = tally.groupBy("bucket").agg(F.sum("n").alias("n"), F.round(F.sum("w"), 6).alias("w")).toArrow().sort_by("bucket")
     held.unpersist()
-    return model
+    n_raw, n_target = tally["n"].to_numpy()[1:], tally["w"].to_numpy()[1:]
+    expected = n_raw * (tally["w"][0].as_py() / tally["n"][0].as_py())
+    low = (n_target + 1) / (expected + 1)
+    tells = (low <= 1 / TELLS) & (expected - n_target >= SIGNIFICANT * np.sqrt(expected + 1)) & (n_bad >= TELLS * (n_target + 1) * mass_bad / tally["w"][0].as_py())
+    return {"bucket": asked.values[tells], "log_ratio": np.maximum(np.log(low[tells]), -np.log(MOST))}
 
 
-def _log_weights(model: dict, texts: pa.Array) -> np.ndarray:
+def _log_weights(model: dict, asked: Lookup, texts: pa.Array) -> np.ndarray:
     """log p_target - log p_raw of each text."""
     out = np.zeros(len(texts))
-    if not model["shares"][0]:
-        return out
-    tell = np.zeros(2 * BUCKETS, bool)
-    tell[model["bucket"]] = True
-    with np.errstate(divide="ignore"):
-        share = np.log(model["shares"])
     for lo, hi, data, offsets in text_slices(lowered(texts)):
-        scores = np.zeros((3, hi - lo))
-        if len(data):
+        if len(data) and len(model["bucket"]):
             text, bucket = features(data, offsets)
-            hit = tell[bucket]
-            text, at = text[hit], np.searchsorted(model["bucket"], bucket[hit])
-            scores[1] = np.bincount(text, model["low"][at], hi - lo)
-            scores[2] = np.bincount(text, model["toxic"][at], hi - lo)
-        out[lo:hi] = -np.logaddexp.reduce(scores + share[:, None], axis=0)
+            which, at = asked.find(bucket)
+            out[lo:hi] = np.bincount(text[which], model["log_ratio"][at], hi - lo)
     # sums of a text's ratios are the same in any slice, but for the last digits
     return np.round(out, 9)
 
 
-def weighed(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, temperature: float = 0.1, least_posterior: float = 0.05, whole_rows: bool = False) -> DataFrame:
+def weighed(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, temperature: float = 1.0, whole_rows: bool = False) -> DataFrame:
     """Columns ADDED of each row; with ``whole_rows`` the rows' own columns before them, and those renamed if need be."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     own = docs.columns if whole_rows else []
@@ -277,18 +260,23 @@ def weighed(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: s
     rows = docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{id_col}`").alias(names[0]), unit_hash(f"quality:{seed}", F.col(f"`{id_col}`")).alias(drawn), F.col(f"`{text_col}`").cast("string").alias(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        share = max(held.value["shares"][0], 1e-300)
+        asked = Lookup(held.value["bucket"])
         for batch in batches:
-            w = _log_weights(held.value, batch.column(len(own) + 2))
+            w = _log_weights(held.value, asked, batch.column(len(own) + 2))
             u = np.clip(batch.column(len(own) + 1).to_numpy(), 2.0**-53, 1 - 2.0**-53)
-            # nothing is rejected without a target model
-            likely = np.log(share) + w >= np.log(least_posterior) if held.value["shares"][0] else np.ones(len(w), bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own) + 1], pa.array(w), pa.array(likely), pa.array(w - temperature * np.log(-np.log(u)))], [*own, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own) + 1], pa.array(w), pa.array(w - temperature * np.log(-np.log(u)))], [*own, *names])
 
-    fields = [*rows.schema.fields[: len(own) + 1], *[StructField(n, k()) for n, k in zip(names[1:], (DoubleType, BooleanType, DoubleType), strict=True)]]
+    fields = [*rows.schema.fields[: len(own) + 1], *[StructField(n, DoubleType()) for n in names[1:]]]
     return bounded(rows).mapInArrow(lean(run), StructType(fields))
 
 
+def drawn(keys: DataFrame, k: int | None) -> float:
+    """The least key that is drawn, of rows with _log_weight and _key."""
+    if k is None:
+        k = round(keys.agg(F.round(F.sum(F.least(F.lit(1.0), F.exp("_log_weight"))), 6)).first()[0] or 0)
+    return threshold(keys, k)
+
+
 def threshold(keys: DataFrame, k: int, bins: int = 4096) -> float:
     """The k-th largest value of column ``_key``: counts in equal bins, again within the bin that holds it, until that bin has one value."""
     if k <= 0:
@@ -312,22 +300,21 @@ def threshold(keys: DataFrame, k: int, bins: int = 4096) -> float:
     return lo if lo is not None else float("inf")
 
 
-def weights(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 200_000, seed: int = 0, temperature: float = 0.1, least_posterior: float = 0.05) -> DataFrame:
+def weights(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 200_000, seed: int = 0, temperature: float = 1.0, k: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, log_weight, gumbel_key, keep."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col, max_labels=max_labels)
-    rows = written(weighed(docs, model, id_col=id_col, text_col=text_col, seed=seed, temperature=temperature, least_posterior=least_posterior), "quality-weights")
-    least = threshold(rows, rows.where("_likely").count())
+    rows = written(weighed(docs, model, id_col=id_col, text_col=text_col, seed=seed, temperature=temperature), "quality-weights")
+    least = drawn(rows, k)
     return rows.select(F.col("_id").alias("doc_id"), F.col("_log_weight").alias("log_weight"), F.col("_key").alias("gumbel_key"), (F.col("_key") >= F.lit(least)).alias("keep"))
 
 
-def keep(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 200_000, seed: int = 0, temperature: float = 0.1, least_posterior: float = 0.05) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 200_000, seed: int = 0, temperature: float = 1.0, k: int | None = None) -> DataFrame:
     """``docs`` without the rejected rows.  Rows are weighed once for the threshold and once as they pass: no join, no shuffle of texts."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col, max_labels=max_labels)
-    at = {"id_col": id_col, "text_col": text_col, "seed": seed, "temperature": temperature, "least_posterior": least_posterior}
-    keys = written(weighed(docs, model, **at).select("_likely", "_key"), "quality-keys")
-    least = threshold(keys, keys.where("_likely").count())
+    at = {"id_col": id_col, "text_col": text_col, "seed": seed, "temperature": temperature}
+    least = drawn(written(weighed(docs, model, **at).select("_log_weight", "_key"), "quality-keys"), k)
     rows = weighed(docs, model, **at, whole_rows=True)
-    return rows.where(F.col(rows.columns[-1]) >= F.lit(least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.where(F.col(f"`{rows.columns[-1]}`") >= F.lit(least)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
