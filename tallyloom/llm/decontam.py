@@ -16,12 +16,15 @@ Over a document the keys of all positions come from one backward recurrence per
 ``key_j[p] = emit_j[p] + (key_{j+1}[p+1] if bit_j[p] else key_{j+1}[p])``, in numpy over whole slices of text.
 
 Each candidate's window (the item's size and the permitted edits at either side) is then verified exactly: the word edit distance between
-the item and the nearest part of the window must be at most ``max_edit`` of the item's words.  Every candidate is verified; no cap.
+the item and the nearest part of the window must be at most ``max_edit`` of the item's words, words being compared by 64-bit hashes.
+Every candidate is verified; no cap.
 
-The benchmark is sent to the tasks in blocks of at most ``BLOCK_BYTES`` of text, so whatever its size, what is broadcast is
-bounded; the corpus is scanned once per block.  The corpus itself is never shuffled.
+The benchmark is sent to the tasks in blocks of about ``BLOCK_BYTES`` of text, and no table is added to an index of more than
+``INDEX_BYTES`` (what is then left is searched for exactly), so whatever the benchmark's size, what is broadcast is bounded; the corpus
+is scanned once per block.  The corpus itself is never shuffled.  ``Index.recall`` has the simulated recall of each length.
 
-Nulls and edges: null and empty documents match nothing; items of no words are ignored; an item of fewer than ``MIN_WORDS`` words is found at
+Nulls and edges: null and empty documents match nothing; a very long document is one row and read whole; of several places of an item in a document
+the one of the fewest edits counts, of equal ones the first; items of no words are ignored; items of equal texts are all found; an item of fewer than ``MIN_WORDS`` words is found at
 any place by ``matches``, but ``clean`` drops for it only documents that have just these words; repeated rows give repeated results; empty tables give an empty result.  Extra columns are kept by
 ``clean`` and left out by ``matches``.
 """
@@ -39,13 +42,15 @@ from tallyloom.llm.shared import U64, bounded, lean, lowered, mix64, text_slices
 
 #: Words of the least item that ``clean`` looks for inside documents.
 MIN_WORDS = 5
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES, INDEX_BYTES = 4 << 20, 96 << 20
 #: Steps of a walk, and walks; items that need more walks are searched for by pieces.
 WALK, MAX_TABLES = 12, 48
 #: Items of fewer words have few places to start a walk from, and are searched for by pieces; longest piece looked up.
 FEW, MAX_PIECE = 24, 8
 #: Simulated copies of each level of lengths: each length below 64 words, doubling ones beyond.
 TRIALS = 1000
+#: Words of windows that are verified together.
+VERIFIED = 1 << 17
 
 
 def sequences(texts: list[str]) -> list[np.ndarray]:
@@ -61,19 +66,26 @@ class Keys:
 
     def put(self, keys: np.ndarray, own: np.ndarray, places: np.ndarray) -> None:
         order = np.argsort(keys, kind="stable")
-        self.keys, self.items, self.places = keys[order], own[order], places[order]
-        self.bits = np.zeros(1 << max(16, int(len(keys)).bit_length() + 7), bool)
-        self.bits[(keys & U64(len(self.bits) - 1)).astype(np.int64)] = True
+        self.keys, self.items, self.places = keys[order], own[order].astype(np.int32), places[order].astype(np.int32)
+        # one bit for each of 64 to 128 values a key: most keys of documents end here
+        size = 1 << max(16, int(len(keys)).bit_length() + 6)
+        bits = np.zeros(size, bool)
+        bits[(keys & U64(size - 1)).astype(np.int64)] = True
+        self.bits = np.packbits(bits, bitorder="little")
+
+    @property
+    def nbytes(self) -> int:
+        return self.keys.nbytes + self.items.nbytes + self.places.nbytes + self.bits.nbytes
 
     def get(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Items and the words at which their first word would stand, for all equal keys."""
-        at = np.flatnonzero(self.bits[(key & U64(len(self.bits) - 1)).astype(np.int64)])
+        at = np.flatnonzero(self.bits[((key >> U64(3)) & U64(len(self.bits) - 1)).astype(np.int64)] >> (key & U64(7)).astype(np.uint8) & 1)
         lo, hi = np.searchsorted(self.keys, key[at], "left"), np.searchsorted(self.keys, key[at], "right")
         n = hi - lo
         at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         entry = np.repeat(lo, n) + within
-        return self.items[entry], np.repeat(at, n) - self.places[entry]
+        return self.items[entry].astype(np.int64), np.repeat(at, n) - self.places[entry]
 
 
 class Table(Keys):
@@ -156,14 +168,15 @@ class Index:
         self.size = np.array([len(s) for s in self.items], np.int64)
         self.permitted = np.floor(self.size * max_edit + 1e-9).astype(np.int64)
         self.tables: list[Table] = []
+        self.recall: dict[int, float] = {}
         exact = [i for i, s in enumerate(self.items) if len(s) < FEW]
         if which := [i for i, s in enumerate(self.items) if len(s) >= FEW]:
             exact += self._repeat(which, WALK, recall, seed + WALK)
         self.pieces = Pieces(self.items, self.permitted, exact)
-        width = int(self.size.max(initial=1))
-        self.padded = np.zeros((len(self.items), width), np.uint32)
-        for i, s in enumerate(self.items):
-            self.padded[i, : len(s)] = s.astype(np.uint32) | np.uint32(1)
+        self.recall |= {int(self.size[i]): 1.0 for i in exact if int(self.size[i]) < FEW}
+        #: All items' words, and where each item starts; no word is 0, which fills up windows.
+        self.first = np.cumsum([0, *self.size.tolist()])[:-1]
+        self.words = np.concatenate([*self.items, np.zeros(1, U64)])
 
     def _repeat(self, which: list[int], length: int, recall: float, seed: int) -> list[int]:
         """Adds tables until of each level of lengths ``recall`` of simulated copies at the permitted distance share a key at their place (and
@@ -184,7 +197,7 @@ class Index:
         found = np.zeros(len(of), bool)
         target = min(1.0, recall + (recall * (1 - recall) / TRIALS) ** 0.5)
         added, lacking = 0, np.ones(len(levels), bool)
-        while lacking.any() and added < MAX_TABLES:
+        while lacking.any() and added < MAX_TABLES and sum(t.nbytes for t in self.tables) < INDEX_BYTES:
             table = Table(seed * 1000 + added, length, n_sampled)
             table.index(self.items, which)
             self.tables.append(table)
@@ -196,6 +209,8 @@ class Index:
                 right = (of[k * TRIALS + t] == items) & (np.abs(places - first[t]) <= self.permitted[items])
                 found[k * TRIALS + t[right]] = True
             lacking &= np.bincount(level, found, len(levels)) < target * TRIALS
+        share = np.bincount(level, found, len(levels)) / TRIALS
+        self.recall |= {n: 1.0 if lacking[k] else float(share[k]) for k, n in enumerate(levels)}
         return [i for k, own in enumerate(levels.values()) if lacking[k] for i in own]
 
     def search(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -205,23 +220,28 @@ class Index:
         if found:
             items, places = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
             # keys of one text only: the walk's own word is the place plus an offset inside the item, so clip the place to the slice
-            pair = np.unique(items.astype(np.int64) << 40 | (places + (1 << 30)))
+            pair = np.unique(items << 40 | (places + (1 << 30)))
             items, places = pair >> 40, (pair & ((1 << 40) - 1)) - (1 << 30)
-            small = words.astype(np.uint32) | np.uint32(1)
-            for lo in range(0, len(items), 512):
-                self._verify(small, first, items[lo : lo + 512], places[lo : lo + 512], best)
+            # items of like sizes together, and so many that their windows take a few MB
+            order = np.argsort(self.size[items], kind="stable")
+            items, places, lo = items[order], places[order], 0
+            while lo < len(items):
+                n = max(1, min(512, VERIFIED // max(1, int(self.size[items[min(lo + 511, len(items) - 1)]] * 2))))
+                self._verify(words, first, items[lo : lo + n], places[lo : lo + n], best)
+                lo += n
         return sorted((d, i, s, e) for (d, i), (e, s) in best.items())
 
-    def _verify(self, small, first, items, places, best) -> None:
+    def _verify(self, words, first, items, places, best) -> None:
         size, permitted = self.size[items], self.permitted[items]
-        middle = np.clip(places + size // 2, 0, len(small) - 1)
+        middle = np.clip(places + size // 2, 0, len(words) - 1)
         doc = np.searchsorted(first, middle, "right") - 1
         lo = np.maximum(places - permitted, first[doc])
         hi = np.minimum(places + size + permitted, first[doc + 1])
         width = int((size + 2 * permitted).max())
         at = lo[:, None] + np.arange(width)
-        window = np.where(at < hi[:, None], small[np.minimum(at, len(small) - 1)], 0)
-        item = self.padded[items][:, : int(size.max())]
+        window = np.where(at < hi[:, None], words[np.minimum(at, len(words) - 1)], U64(0))
+        of = np.arange(int(size.max()))
+        item = np.where(of < size[:, None], self.words[np.minimum(self.first[items][:, None] + of, len(self.words) - 1)], U64(0))
         # an item within the permitted edits has all but so many of its words in the window
         there = np.zeros(item.shape, bool)
         for k in range(width):

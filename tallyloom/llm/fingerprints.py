@@ -4,15 +4,18 @@ A text is cut at blank lines into sections, a section at line ends into paragrap
 sentences, or pieces of 80 characters of longer ones.  A leaf's node is the MD5 of its text, a paragraph's
 that of its leaves' nodes, a section's that of its paragraphs' nodes, and the root is the SHA-256 of the
 sections' nodes.  Equal texts have equal roots; where roots differ, the sections, paragraphs and leaves whose
-nodes differ show where.  The printed fingerprint has the root in full and the first 8 digits of the others:
-``root|section{paragraph:leaf,leaf;paragraph:leaf}section{...}``.
+nodes differ show where: ``diff`` walks down the trees of two texts, level by level, into those branches that the other text lacks.
+The printed fingerprint has the root in full, the first 8 digits of sections and paragraphs and the first 16 of leaves (64 bits, so
+that leaves of different texts hardly ever agree by chance): ``root|section{paragraph:leaf,leaf;paragraph:leaf}section{...}``.
 
 The likeness of two fingerprints is the Dice coefficient of their sets of leaves, 1 for equal roots, and 0 if
 just one has leaves or both have none and the roots differ.
 
 Nulls and edges: a null text is the empty text (one section with one paragraph without leaves).  A null id sorts
 first; rows of one id are ordered by their texts; the last row's next document is the first.  An only document
-is its own next.  An empty table gives an empty result.  Extra columns are left alone.
+is its own next.  Very long texts are read whole.  An empty table gives an empty result.  Extra columns are left alone, whatever their
+names: a new column whose name is taken has underscores in front.  ``with_next`` deals rows by ranges of ids, so the rows of one id (or
+of no id) are in one task.
 """
 
 from __future__ import annotations
@@ -22,13 +25,15 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.llm.shared import free_names, written
+
 LEAF = r"[^.!?|]{1,80}[.!?|]*|[.!?|]+"
 
 
 def merkle(text: Column) -> Column:
     """struct(root, fingerprint, leaves) of a text."""
     paragraph = lambda p: F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), F.md5)
-    node = lambda leaves: F.struct(F.md5(F.array_join(leaves, "")).alias("h"), F.transform(leaves, lambda x: F.substring(x, 1, 8)).alias("l"))
+    node = lambda leaves: F.struct(F.md5(F.array_join(leaves, "")).alias("h"), F.transform(leaves, lambda x: F.substring(x, 1, 16)).alias("l"))
     tree = F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.transform(F.split(s, "\n", -1), paragraph), node))
     sections = F.transform(tree, lambda s: F.struct(F.md5(F.array_join(F.transform(s, lambda p: p["h"]), "")).alias("h"), s.alias("p")))
     return F.transform(F.array(sections), _finish)[0]
@@ -51,8 +56,35 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with ``root`` and ``fingerprint``, in place: no shuffle."""
-    m = docs.withColumn("_m", merkle(F.coalesce(F.col(text_col), F.lit(""))))
-    return m.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("root", "fingerprint")], F.col("_m.root").alias("root"), F.col("_m.fingerprint").alias("fingerprint"))
+    root, fingerprint, m = free_names(docs, "root", "fingerprint", "_m")
+    out = docs.withColumn(m, merkle(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"{m}.root").alias(root), F.col(f"{m}.fingerprint").alias(fingerprint))
+
+
+def diff(docs: DataFrame, a: Column, b: Column, *, id_col: str = "doc_id") -> DataFrame:
+    """Where the texts ``a`` and ``b`` of each row differ: doc_id, side (a or b), section, paragraph and leaf (from 0), and text, of all leaves that the other text lacks in what its branch is compared with.
+
+    Rows of equal roots end at once.  Of the rest, sections whose node the other text lacks are opened, of these the paragraphs whose node it lacks, and
+    of these the leaves; each level is an anti-join by row and node, so no two parts are compared pairwise.  Rows of one id and equal texts are one.
+    A paragraph that only moved, or has no leaf of its own (only leaves that the other has elsewhere in opened paragraphs), gives no row.
+    """
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text(a).alias("a"), text(b).alias("b")).where("a != b")
+    rows = rows.withColumn("row", F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.md5("a"), F.md5("b")), 256)).select("doc_id", "row", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("t")) for s in "ab"])).alias("x"))
+
+    def lacked(level: DataFrame) -> DataFrame:
+        """Of nodes with column h those whose node isn't on the other side."""
+        other = level.select(F.col("row").alias("_row"), F.when(F.col("side") == "a", "b").otherwise("a").alias("_side"), F.col("h").alias("_h")).distinct()
+        return level.join(other, (F.col("row") == F.col("_row")) & (F.col("side") == F.col("_side")) & (F.col("h") == F.col("_h")), "left_anti")
+
+    leaves = lambda p: F.regexp_extract_all(p, F.lit(LEAF), F.lit(0))
+    node = lambda p: F.md5(F.array_join(F.transform(leaves(p), F.md5), ""))
+    sections = rows.select("doc_id", "row", "x.side", F.posexplode(F.split("x.t", "\n\n", -1)).alias("section", "t"))
+    sections = written(lacked(sections.withColumn("h", F.md5(F.array_join(F.transform(F.split("t", "\n", -1), node), "")))), "diff-sections")
+    paragraphs = sections.select("doc_id", "row", "side", "section", F.posexplode(F.split("t", "\n", -1)).alias("paragraph", "t"))
+    paragraphs = written(lacked(paragraphs.withColumn("h", node(F.col("t")))), "diff-paragraphs")
+    found = paragraphs.select("doc_id", "row", "side", "section", "paragraph", F.posexplode(leaves(F.col("t"))).alias("leaf", "text"))
+    return lacked(found.withColumn("h", F.md5("text"))).select("doc_id", "side", *[F.col(c).cast("long").alias(c) for c in ("section", "paragraph", "leaf")], "text").distinct()
 
 
 def with_next(rows: DataFrame, key: str, carry: list[str], tie: str) -> DataFrame:
@@ -109,8 +141,8 @@ _TREE = r"""list_transform(string_split({0}, chr(10) || chr(10)), lambda s: list
 _NODES = "list_transform({0}, lambda s: list_transform(s, lambda p: md5(array_to_string(p, ''))))"
 _PRINT = """sha256(array_to_string(list_transform({1}, lambda s: md5(array_to_string(s, ''))), '')) || '|' || array_to_string(list_transform({0},
   lambda s, i: substr(md5(array_to_string({1}[i], '')), 1, 8) || '{{' || array_to_string(list_transform(s,
-  lambda p, j: substr({1}[i][j], 1, 8) || ':' || array_to_string(list_transform(p, lambda x: substr(x, 1, 8)), ',')), ';') || '}}'), '')"""
-_LEAVES = "list_distinct(list_transform(flatten(flatten({0})), lambda x: substr(x, 1, 8)))"
+  lambda p, j: substr({1}[i][j], 1, 8) || ':' || array_to_string(list_transform(p, lambda x: substr(x, 1, 16)), ',')), ';') || '}}'), '')"""
+_LEAVES = "list_distinct(list_transform(flatten(flatten({0})), lambda x: substr(x, 1, 16)))"
 _LIKE = """CASE WHEN split_part({0}, '|', 1) = split_part({1}, '|', 1) THEN 1.0::DOUBLE WHEN len({2}) + len({3}) = 0 THEN 0.0::DOUBLE
   ELSE 2.0::DOUBLE * len(list_intersect({2}, {3})) / (len({2}) + len({3})) END"""
 ORACLE = f"""

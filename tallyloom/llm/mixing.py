@@ -7,7 +7,9 @@ needs to see another one of its source: a source with a third of all rows is no
 
 Nulls and edges: a null text has size 0; a null source is a source of its own, ordered last; a null id draws
 from the empty string; repeated rows draw alike.  A source whose texts are all empty has target 0.
-An empty table gives an empty result.  Extra columns are left alone, whatever their names.
+A very long text is one row and counted whole; ties of sources don't occur, since each is one row.
+An empty table gives an empty result.  Extra columns are left alone, whatever their names; a copy's number is
+in ``mix_copy``, with underscores in front where the input has a column of that name.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import unit_hash, written
+from tallyloom.llm.shared import free_names, unit_hash, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of the per-source table (one row per source, about 100 bytes) up to which it is broadcast.
@@ -33,7 +35,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3
     Resharing until none is above ends at target = min(cap * size, level * weight) for one level.  Sources in
     order of cap * size / weight reach their cap one after another, so the level is the largest of
     (total - caps before) / (weights from here on).  All sums are integers, hence exact.  The windows run over
-    one row per source, never over documents.
+    one row per source (some 50 bytes), never over documents, but in one task: right for up to some ten million
+    sources; a column of as many values as documents is no source.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     ranked = sizes.select(
@@ -74,13 +77,13 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def emit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5, 2, 1), cap: int = 3, seed: int = 0) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it, and its copy's number in ``mix_copy``."""
+    """``docs`` with each row as often as the mix takes it, and its copy's number in ``mix_copy`` (``_mix_copy`` if that is taken)."""
     sizes = docs.select(F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
     per_source = written(targets(sizes, weights, cap), "mix-targets")
-    names = docs.columns
+    names, number = docs.columns, free_names(docs, "mix_copy")[0]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(source_col).cast("string").alias("source"), F.col(id_col).alias("_id"))
     taken = with_targets(rows, per_source).withColumn("_n", copies(F.col("_id"), seed)).where("_n > 0")
-    return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("mix_copy")).select(*[F.col(f"_row.`{c}`").alias(c) for c in names if c != "mix_copy"], "mix_copy")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_copy")).select(*[F.col(f"_row.`{c}`").alias(c) for c in names], F.col("_copy").alias(number))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

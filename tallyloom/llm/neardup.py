@@ -15,7 +15,9 @@ still be similar enough: 1 - similarity is a metric, so their distances to the l
 differences from the leader, kept as bit maps, bound what they share. No bucket is capped, and nothing that could be a link is left out. Classes are
 the connected components of verified pairs.
 
-Only texts of nodes with a bucket in common move, and never those of exact copies. Tables in between are narrow and written to the shared folder;
+Only texts of nodes with a bucket in common move, and never those of exact copies, as long as the list of their rows is small enough to be broadcast
+(``BROADCAST_ROWS``); a longer list is joined, and for that all texts are exchanged once. A bucket with very many nodes is cut into parts for the second
+comparison. Tables in between are narrow and written to the shared folder;
 neither pairs nor labels reach the driver.
 
 Nulls and edges: a null text is empty; texts without words are one class; repeated rows are exact copies; a null id belongs to its class, whose id is
@@ -42,6 +44,8 @@ BITS = 512
 _STEP, _PART, _TOP = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
 #: Rows of ``dropped`` (8 bytes each) up to which it is broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Parts of the rows and columns of a bucket's pairs, times the root of its nodes.
+SQUARE = 1 / 12
 
 
 def _wrapped(x: int) -> np.uint64:
@@ -254,8 +258,9 @@ def most_shared(x: str, y: str) -> F.Column:
     return F.col(f"{x}.leader_size") - missing + F.least(*beyond)
 
 
-def links(docs: DataFrame, rows: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(nodes, links): a row of ``docs`` for each node, and the verified links a, b, sim between nodes of different texts."""
+def links(docs: DataFrame, rows: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, links, classes): a row of ``docs`` for each node, the verified links a, b, sim between nodes of different texts, and node, label of all
+    nodes that have links."""
     nodes = written(rows.groupBy("node").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("row"), F.min("id").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands")), "neardup-nodes")
     cells = nodes.where("size > 0").select("node", "size", F.explode("bands").alias("bucket"))
     shared = cells.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -268,7 +273,7 @@ def links(docs: DataFrame, rows: DataFrame, *, threshold: float = 0.8, id_col: s
     pairs = written(cells.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "neardup-pairs")
     texts = texts_of(cells.select("node").distinct(), nodes, docs, id_col=id_col, text_col=text_col)
     first = written(verified(pairs, texts), "neardup-first")
-    found = first.where(F.col("sim") >= threshold)
+    found = first.where(F.col("sim") >= threshold).select("a", "b", "sim")
     classes = components(found.select("a", "b"))
     # what is left: buckets with nodes of several classes; who isn't linked to the leader there may be to another one
     differ = first.select(F.col("a").alias("node"), F.col("b").alias("leader"), (1 - F.col("sim")).alias("d"), "miss", "extra", "n_extra")
@@ -277,9 +282,15 @@ def links(docs: DataFrame, rows: DataFrame, *, threshold: float = 0.8, id_col: s
     known = known.join(several, "bucket", "left_semi").join(differ, ["node", "leader"]).join(nodes.select("node", "bands"), "node")
     known = written(known, "neardup-known")
     far = known.where(F.col("d") > 1 - threshold)
-    x, y = far.alias("x"), known.alias("y")
+    # a bucket of n nodes is a square of pairs: its rows and columns are cut into SQUARE * sqrt(n) parts each, so that no task has them all
+    parts = known.groupBy("bucket").agg(F.ceil(F.sqrt(F.count("*").cast("double")) * SQUARE).alias("parts")).where("parts > 1")
+    own = lambda side: F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("node", F.lit(side)), "parts"))
+    all_parts = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts"), F.lit(1)) - 1)
+    cut = lambda df: df.join(parts, "bucket", "left")
+    x = cut(far).withColumn("row_part", own("x")).withColumn("column_part", F.explode(all_parts)).alias("x")
+    y = cut(known).withColumn("column_part", own("y")).withColumn("row_part", F.explode(all_parts)).alias("y")
     most = most_shared("x", "y")
-    open_pairs = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where(
+    open_pairs = x.join(y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("bucket", "row_part", "column_part")]).where(
         (F.col("x.label") != F.col("y.label")) & (F.abs(F.col("x.d") - F.col("y.d")) <= 1 - threshold + 1e-9)
         # of two far nodes one order is enough
         & ((F.col("y.d") <= 1 - threshold) | (F.col("x.node") < F.col("y.node")))
@@ -289,26 +300,41 @@ def links(docs: DataFrame, rows: DataFrame, *, threshold: float = 0.8, id_col: s
     )
     second = written(open_pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), "neardup-open")
     if second.isEmpty():
-        return nodes, found
-    more = written(verified(second, texts), "neardup-second").where(F.col("sim") >= threshold)
-    return nodes, found.unionByName(more)
+        return nodes, found, classes
+    more = written(verified(second, texts), "neardup-second").where(F.col("sim") >= threshold).select("a", "b", "sim")
+    # of these only what joins two classes is left to follow
+    of = lambda side: F.coalesce(F.col(f"label_{side}"), F.col(side)).alias(side)
+    named = lambda side: classes.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
+    across = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(of("a"), of("b")).where("a != b")
+    joined = components(across)
+    ends = joined.select(F.col("node").alias("label"), F.col("label").alias("joined"))
+    whole = classes.join(ends, "label", "left").select("node", F.coalesce("joined", "label").alias("label"))
+    new = joined.join(classes.select("node"), "node", "left_anti").select("node", "label")
+    return nodes, found.unionByName(more), written(whole.unionByName(new), "neardup-classes")
 
 
 def classes(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (the least id of its class), row (a hash of id and text), class_row (that of the
-    document that stands for the class)."""
+    """One row per row of ``docs``: doc_id, class_id (the least id of its class), n_links (verified links of its text with other texts), similarity (the
+    greatest of these, null without one), row (a hash of id and text), class_row (that of the document that stands for the class).
+
+    A text's links are those that were compared: with the leaders of its buckets, and with texts of other classes.
+    """
     rows = signed(docs, id_col=id_col, text_col=text_col)
-    nodes, found = links(docs, rows, threshold=threshold, id_col=id_col, text_col=text_col)
-    label = components(found.select("a", "b"))
-    labelled = written(nodes.join(label, "node", "left").select("node", "id", "row", F.coalesce("label", "node").alias("label")), "neardup-labels")
+    nodes, found, label = links(docs, rows, threshold=threshold, id_col=id_col, text_col=text_col)
+    each = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").distinct()
+    each = each.select("a", "sim").union(each.select("b", "sim")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"), F.max("sim").alias("similarity"))
+    labelled = nodes.join(label, "node", "left").join(each, "node", "left")
+    labelled = written(labelled.select("node", "id", "row", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.round("similarity", 9).alias("similarity")), "neardup-labels")
     least = labelled.groupBy("label").agg(F.min("id").alias("class_id"), F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("class_row"))
-    names = written(labelled.select("node", "label").join(least, "label").select("node", "class_id", "class_row"), "neardup-names")
-    return rows.select("id", "row", "node").join(names, "node").select(F.col("id").alias("doc_id"), "class_id", "row", "class_row")
+    names = written(labelled.select("node", "label", "n_links", "similarity").join(least, "label").drop("label"), "neardup-names")
+    return rows.select("id", "row", "node").join(names, "node").select(F.col("id").alias("doc_id"), "class_id", "n_links", "similarity", "row", "class_row")
 
 
 def keep_one(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class: that of the least id.  What goes is anti-joined, so texts move only where more than
-    ``BROADCAST_ROWS`` go or rows are repeated."""
+    """``docs`` with one row of each class: that of the least id; of rows that differ in other columns only, the first by these as JSON.
+
+    What goes is anti-joined, so texts move only where more than ``BROADCAST_ROWS`` go; and those of repeated rows that stay.
+    """
     found = written(classes(docs, threshold=threshold, id_col=id_col, text_col=text_col), "neardup-classes")
     key = F.xxhash64(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
     own, gone = free_names(docs, "_neardup_key", "_neardup_row")
@@ -316,11 +342,15 @@ def keep_one(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id",
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
     kept = docs.withColumn(own, key).join(dropped, F.col(own) == F.col(gone), "left_anti")
-    stays = found.where("row = class_row")
-    if stays.groupBy("row").count().where("count > 1").isEmpty():
+    twice = written(found.where("row = class_row").groupBy("row").count().where("count > 1").select(F.col("row").alias(gone)), "neardup-twice")
+    if (n := twice.count()) == 0:
         return kept.drop(own)
-    return kept.dropDuplicates([own]).drop(own)
+    twice = F.broadcast(twice) if n <= BROADCAST_ROWS else twice
+    once = kept.join(twice, F.col(own) == F.col(gone), "left_anti").drop(own)
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = kept.join(twice, F.col(own) == F.col(gone), "left_semi").groupBy(own).agg(F.min_by(every, F.to_json(every)).alias(gone))
+    return once.union(first.select(*[F.col(f"{gone}.`{c}`").alias(c) for c in docs.columns]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id")
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "n_links", "similarity")

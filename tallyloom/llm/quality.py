@@ -18,8 +18,8 @@ evidence nor take any away.
 number from the hash of seed and id, by an exact search for the k-th largest key. Without a given ``k`` it is the sum of min(1, p_target / p_raw), the
 number that rejection sampling from raw text would accept.
 
-What is gathered: a bucket can tell only if the documents that aren't target have it, so their counts come first (labelled rows only), and the counts of
-all documents only for the buckets that pass ``DISTINCT``. Both are sums in DataFrames, combined in the tasks. Labels are a bounded sample, the
+What is gathered: the counts of labelled documents come first, and those of all documents only for the buckets of which labels show that they may tell. Both
+are sums in DataFrames, combined in the tasks. Labels are a bounded sample, the
 ``max_labels`` rows of the least hash; so what is broadcast, labels and buckets that may tell, is bounded by them. Texts are never shuffled (but where
 repeated ids give more than ``BROADCAST_ROWS`` labelled rows).
 
@@ -155,88 +155,80 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(_key(key).alias("k"), F.xxhash64(key, text).alias("row"), text.alias("t"))
 
 
-def _weighed(bucket: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each bucket once, with its sum."""
+def _summed(bucket: np.ndarray, *weights: np.ndarray) -> list[np.ndarray]:
+    """Each bucket once, and its sums."""
     order = np.argsort(bucket, kind="stable")
-    bucket, weight = bucket[order], weight[order]
-    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-    return bucket[first], np.add.reduceat(weight, first) if len(first) else weight
+    bucket = bucket[order]
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    return [bucket[first], *[np.add.reduceat(w[order], first) for w in weights]]
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (t, weight): sums of the weights by bucket, and of all buckets as bucket -1; handed on each time that ``GATHERED`` pairs are there."""
-    buckets, weights = [], []
+    """Of (t, weight, bad): sums of the weights by bucket, and of all buckets as bucket -1, of rows that aren't target and of those that are; handed on each
+    time that ``GATHERED`` pairs are there."""
+    parts = []
 
     def handed() -> pa.RecordBatch:
-        b, w = _weighed(np.concatenate(buckets), np.concatenate(weights))
-        buckets.clear(), weights.clear()
-        return pa.RecordBatch.from_arrays([pa.array(np.append(b, -1)), pa.array(np.append(w, w.sum()))], ["bucket", "w"])
+        sums = _summed(*map(np.concatenate, zip(*parts, strict=True)))
+        parts.clear()
+        return pa.RecordBatch.from_arrays([pa.array(np.append(sums[0], -1)), *[pa.array(np.append(w, w.sum())) for w in sums[1:]]], ["bucket", "bad", "target"])
 
     for batch in batches:
-        each = batch.column(1).to_numpy()
+        weight, bad = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
         for lo, hi, data, offsets in text_slices(lowered(batch.column(0))):
-            if len(data):
-                text, bucket = features(data, offsets)
-                b, w = _weighed(bucket, each[lo:hi][text])
-                buckets.append(b), weights.append(w)
-                if sum(map(len, buckets)) >= GATHERED:
+            text, bucket = features(data, offsets) if len(data) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            if len(bucket):
+                w, b = weight[lo:hi][text], bad[lo:hi][text]
+                parts.append(_summed(bucket, np.where(b, w, 0.0), np.where(b, 0.0, w)))
+                if sum(len(p[0]) for p in parts) >= GATHERED:
                     yield handed()
-    if buckets:
+    if parts:
         yield handed()
 
 
 def _tallied(held):
-    """Of (t, weight or null): all documents with each bucket asked for, sums of the weights, and both of all buckets as bucket -1."""
+    """Of (t): all documents with each bucket asked for, and of all buckets as bucket -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = held.value
-        size = len(asked.values)
-        count, weight, mass = np.zeros(size, np.int64), np.zeros(size), np.zeros(2)
+        count, mass = np.zeros(len(asked.values), np.int64), 0
         for batch in batches:
-            each = batch.column(1).fill_null(0.0).to_numpy()
-            for lo, hi, data, offsets in text_slices(lowered(batch.column(0))):
+            for _, _, data, offsets in text_slices(lowered(batch.column(0))):
                 if len(data):
-                    text, bucket = features(data, offsets)
-                    own = each[lo:hi]
-                    mass += len(bucket), (np.bincount(text, minlength=hi - lo) * own).sum()
-                    which, at = asked.find(bucket)
-                    count += np.bincount(at, minlength=size)
-                    weight += np.bincount(at, own[text[which]], size)
+                    _, bucket = features(data, offsets)
+                    mass += len(bucket)
+                    count += np.bincount(asked.find(bucket)[1], minlength=len(count))
         some = np.flatnonzero(count)
-        if mass[0]:
-            columns = np.append(asked.values[some], -1), np.append(count[some], int(mass[0])), np.append(weight[some], mass[1])
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "n", "w"])
+        if mass:
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(asked.values[some], -1)), pa.array(np.append(count[some], mass))], ["bucket", "n"])
 
     return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 200_000) -> dict:
     """The buckets in which the models differ, in order, and log p_target - log p_raw of each."""
-    spark = docs.sparkSession
     marks = labelled(docs, labels, id_col=id_col, text_col=text_col, max_labels=max_labels)
     model = {"bucket": np.zeros(0, np.int64), "log_ratio": np.zeros(0)}
     n = {r.bad: r["count"] for r in marks.groupBy("bad").count().collect()}
     if len(n) < 2:
         return model
-    small = F.broadcast if sum(n.values()) <= BROADCAST_ROWS else (lambda df: df)
-    rows = _rows(docs, id_col, text_col).select("row", "t")
-    bad = rows.join(small(marks.where("bad").select("row", "weight")), "row").select("t", "weight")
+    rows = _rows(docs, id_col, text_col)
+    own = rows.select("row", "t").join(F.broadcast(marks) if sum(n.values()) <= BROADCAST_ROWS else marks, "row").select("t", "weight", "bad")
     # sums in any order are equal to the sixth place
-    sums = bounded(bad).mapInArrow(lean(_counted), "bucket bigint, w double").groupBy("bucket").agg(F.round(F.sum("w"), 6).alias("bad"))
-    sums = sums.where((F.col("bad") >= DISTINCT) | (F.col("bucket") < 0)).toArrow().sort_by("bucket")
-    if sums.num_rows < 2:
+    sums = bounded(own).mapInArrow(lean(_counted), "bucket bigint, bad double, target double").groupBy("bucket").agg(*[F.round(F.sum(c), 6).alias(c) for c in ("bad", "target")])
+    sums = written(sums.where((F.col("bad") >= DISTINCT) | (F.col("bucket") < 0)), "quality-sums")
+    if (mass := sums.where("bucket < 0").first()) is None or not mass.target:
         return model
-    n_bad, mass_bad = sums["bad"].to_numpy()[1:], sums["bad"].to_numpy()[0]
-    asked = Lookup(sums["bucket"].to_numpy()[1:])
-    held = spark.sparkContext.broadcast(asked)
-    every = rows.join(small(marks.where("not bad").select("row", "weight")), "row", "left").select("t", "weight")
-    tally = bounded(every).mapInArrow(lean(_tallied(held)), "bucket bigint, n bigint, w double")
-    tally = tally.groupBy("bucket").agg(F.sum("n").alias("n"), F.round(F.sum("w"), 6).alias("w")).toArrow().sort_by("bucket")
+    sums = sums.where((F.col("bucket") >= 0) & (F.col("bad") >= (F.col("target") + 1) * (TELLS * mass.bad / mass.target))).toArrow().sort_by("bucket")
+    if not sums.num_rows:
+        return model
+    n_target, asked = sums["target"].to_numpy(), Lookup(sums["bucket"].to_numpy())
+    held = docs.sparkSession.sparkContext.broadcast(asked)
+    tally = bounded(rows.select("t")).mapInArrow(lean(_tallied(held)), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow().sort_by("bucket")
     held.unpersist()
-    n_raw, n_target = tally["n"].to_numpy()[1:], tally["w"].to_numpy()[1:]
-    expected = n_raw * (tally["w"][0].as_py() / tally["n"][0].as_py())
+    expected = tally["n"].to_numpy()[1:] * (mass.target / tally["n"][0].as_py())
     low = (n_target + 1) / (expected + 1)
-    tells = (low <= 1 / TELLS) & (expected - n_target >= SIGNIFICANT * np.sqrt(expected + 1)) & (n_bad >= TELLS * (n_target + 1) * mass_bad / tally["w"][0].as_py())
+    tells = (low <= 1 / TELLS) & (expected - n_target >= SIGNIFICANT * np.sqrt(expected + 1))
     return {"bucket": asked.values[tells], "log_ratio": np.maximum(np.log(low[tells]), -np.log(MOST))}
 
 

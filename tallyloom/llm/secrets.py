@@ -9,16 +9,19 @@ Base kinds are found in the whole text, leftmost and non-overlapping for each ki
 The method adds kind ``wide``: provider-prefixed tokens, private-key headers, capital hex runs, and runs of 40 or
 more token characters with lower case, capitals and digits, none of which overlaps a base span.  The value of each
 candidate is hashed, and the hashes are counted over the whole corpus by distinct repositories and owners.
-A value of ``min_owners`` owners or more is a widely copied example; a rarer one is owner-specific and, with 16 or more
-characters including digits and letters, live-looking.  Only ``wide`` spans that are live-looking are added.
+A value of ``min_owners`` owners or more, or of ``min_repos`` repositories or more (of however few owners), is a widely copied
+example; a rarer one is owner-specific and, with 16 or more characters including digits and letters, live-looking.  Only ``wide``
+spans that are live-looking are added.
 
 ``redact`` replaces live-looking owner-specific values; with ``any_shape`` also those of base kinds whatever their shape, but for
 obvious placeholders: one character over and over, or nothing but runs of four or more successive letters or digits (``abcdefgh12345``).
 
 Counting is map-side combined (a value that a third of all rows hold becomes one row per task), and the join back is
-a sort-merge join whose skewed partitions are split at run time.  Texts are never shuffled.
+a sort-merge join whose skewed partitions are split at run time.  ``scan`` never shuffles texts; ``redact`` joins whole rows to the
+spans of those that have any, and where that list is above Spark's threshold of broadcasts, texts are exchanged once.
 
-Nulls and edges: a null text is empty; a null owner or repository counts as no owner or repository of its own (a value seen only
+Nulls and edges: a null text is empty; very long texts are read whole, and a text's spans take time in proportion to their number (but for a factor of
+``RUN``); extra columns, whatever their names, are kept by ``redact`` and left out by ``scan``; spans that start together are in the order of kinds; a null owner or repository counts as no owner or repository of its own (a value seen only
 there has 0); repeated rows give repeated result rows with the same spans; an empty table gives an empty result.
 """
 
@@ -39,6 +42,8 @@ WIDE = (
 )
 KINDS = ("assign", "access", "hex", "wide")
 SPAN = "array<struct<s:int,k:int,e:int,v:string>>"
+#: Matches whose places are found together.
+RUN = 128
 
 
 def _spans(text: Column, pattern: str, kind: int, maybe: Column, group: int = 0) -> Column:
@@ -50,14 +55,23 @@ def _spans(text: Column, pattern: str, kind: int, maybe: Column, group: int = 0)
     pieces, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     found = F.arrays_zip(F.slice(pieces, 1, F.size(whole)).alias("p"), whole.alias("w"), value.alias("v"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    none = F.array().cast(SPAN)
 
     def step(acc: Column, m: Column) -> Column:
         s = acc["at"] + F.length(m["p"])
         e = s + F.length(m["w"])
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"), m["v"].alias("v")))).cast(SPAN).alias("out"))
 
-    return F.when(maybe, F.aggregate(found, start, step)["out"]).otherwise(F.array().cast(SPAN))
+    def runs(f: Column) -> Column:
+        """Places by runs of ``RUN`` matches, since appending to an array copies it; then the runs one after another."""
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(f) - 1) / RUN).cast("int")), lambda i: F.aggregate(F.slice(f, i * RUN + 1, F.lit(RUN)), F.struct(F.lit(0).alias("at"), none.alias("out")), step))
+        moved = lambda x, by: F.struct((x["s"] + by).alias("s"), x["k"].alias("k"), (x["e"] + by).alias("e"), x["v"].alias("v"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        after = lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["out"], F.array(F.transform(c["out"], lambda x: moved(x, acc["at"])))).cast(f"array<{SPAN}>").alias("out"))
+        return F.when(F.size(f) > 0, F.flatten(F.aggregate(parts, start, after)["out"])).otherwise(none)
+
+    # as an element of an array the matches are taken once, however often they are referred to
+    return F.when(maybe, F.transform(F.array(found), runs)[0]).otherwise(none)
 
 
 #: Runs of four or more successive letters or digits.
@@ -104,14 +118,15 @@ def candidate_table(docs: DataFrame, *, id_col: str, text_col: str, repo: Column
     )
 
 
-def judged(table: DataFrame, min_owners: int = 3) -> DataFrame:
+def judged(table: DataFrame, min_owners: int = 3, min_repos: int = 100) -> DataFrame:
     """One row per candidate span: doc_id, text_key, span, and ``live`` or not, and ``secret`` (to be redacted) or not, by the corpus-wide counts of its hash."""
     each = table.where(F.col("text_key").isNotNull()).select("doc_id", "text_key", "repo", "owner", F.explode(F.concat("base", "extra")).alias("x"))
     each = each.withColumn("h", F.md5("x.v"))
     counts = each.groupBy("h").agg(F.count_distinct("repo").alias("n_repos"), F.count_distinct("owner").alias("n_owners"))
     looks = (F.length("x.v") >= 16) & F.col("x.v").rlike("[0-9]") & F.col("x.v").rlike("[A-Za-z]") | F.contains("x.v", F.lit("PRIVATE KEY-----"))
     secret = F.when(F.col("x.k") == 3, looks).otherwise(~F.lower("x.v").rlike(PLACEHOLDER))
-    return each.join(counts, "h").select("doc_id", "text_key", "x", "n_repos", "n_owners", (F.col("n_owners") >= min_owners).alias("example"), ((F.col("n_owners") < min_owners) & looks).alias("live"), ((F.col("n_owners") < min_owners) & secret).alias("secret"))
+    example = (F.col("n_owners") >= min_owners) | (F.col("n_repos") >= min_repos)
+    return each.join(counts, "h").select("doc_id", "text_key", "x", "n_repos", "n_owners", example.alias("example"), (~example & looks).alias("live"), (~example & secret).alias("secret"))
 
 
 def per_text(spans: DataFrame) -> DataFrame:
@@ -121,24 +136,28 @@ def per_text(spans: DataFrame) -> DataFrame:
         F.collect_set(F.when(F.col("live"), F.struct((F.col("x.e") - F.length("x.v")).alias("s"), F.col("x.e").alias("e")))).alias("live"),
         F.collect_set(F.when(F.col("secret"), F.struct((F.col("x.e") - F.length("x.v")).alias("s"), F.col("x.e").alias("e")))).alias("secret"),
         F.size(F.collect_set(F.when(F.col("example"), F.col("x")))).cast("long").alias("n_example"),
+        F.max("n_repos").alias("most_repos"),
+        F.max("n_owners").alias("most_owners"),
     )
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", repo: Column | None = None, owner: Column | None = None, min_owners: int = 3) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example.
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", repo: Column | None = None, owner: Column | None = None, min_owners: int = 3, min_repos: int = 100) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, and of its values' repositories and owners the
+    most that one has.
 
     ``repo`` and ``owner`` say where a document comes from; by default each document is a repository and its ``source`` the owner.
     """
     table = candidate_table(docs, id_col=id_col, text_col=text_col, repo=F.col(id_col) if repo is None else repo, owner=F.col("source") if owner is None else owner)
-    marks = per_text(judged(table, min_owners)).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    marks = per_text(judged(table, min_owners, min_repos)).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
     out = table.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
     return out.select(
         "doc_id", *[f"n_{k}" for k in KINDS[:3]], F.sha2(_print(F.col("base")), 256).alias("base_sha256"), _print(F.concat("base", F.coalesce("added", F.array().cast(SPAN)))).alias("spans"),
         F.coalesce(F.size("live"), F.lit(0)).cast("long").alias("n_live"), F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("most_repos", "most_owners")],
     )
 
 
-def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", repo: Column | None = None, owner: Column | None = None, min_owners: int = 3, mark: str = "[SECRET]", any_shape: bool = False) -> DataFrame:
+def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", repo: Column | None = None, owner: Column | None = None, min_owners: int = 3, min_repos: int = 100, mark: str = "[SECRET]", any_shape: bool = False) -> DataFrame:
     """``docs`` with the values of live-looking (with ``any_shape`` all) owner-specific credentials replaced by ``mark``; widely copied examples stay.
 
     Only texts with a live value are joined to their spans; Spark broadcasts that table if it is under its threshold.
@@ -146,7 +165,7 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
     table = candidate_table(docs, id_col=id_col, text_col=text_col, repo=F.col(id_col) if repo is None else repo, owner=F.col("source") if owner is None else owner)
     of, key, live = free_names(docs, "_id", "_key", "_live")
     which = "secret" if any_shape else "live"
-    marks = written(per_text(judged(table, min_owners)).where(F.size(which) > 0).select(F.col("doc_id").alias(of), F.col("text_key").alias(key), F.array_sort(which).alias(live)), "secrets-live")
+    marks = written(per_text(judged(table, min_owners, min_repos)).where(F.size(which) > 0).select(F.col("doc_id").alias(of), F.col("text_key").alias(key), F.array_sort(which).alias(live)), "secrets-live")
     text = F.col(f"`{text_col}`")
     hit = docs.join(marks, F.col(id_col).eqNullSafe(F.col(of)) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(key)), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -182,10 +201,10 @@ f AS (SELECT doc_id, source, rid, list_filter({_sql_spans(0, 2)}, lambda x: len(
 g AS (SELECT *, list_concat(list_concat(a, b), c) AS base FROM f),
 h AS (SELECT *, list_filter(wide, lambda x: ((regexp_matches(x.v, '[0-9]') AND regexp_matches(x.v, '[a-z]') AND regexp_matches(x.v, '[A-Z]')) OR regexp_matches(x.v, '^[0-9A-F]{{32,}}$') OR contains(x.v, 'PRIVATE KEY-----'))
   AND len(list_filter(base, lambda y: y.s < x.e AND x.s < y.e)) = 0) AS extra FROM g),
-e AS (SELECT rid, source, unnest(list_concat(base, extra)) AS x FROM h),
-n AS (SELECT md5(x.v) AS key, count(DISTINCT source) AS owners FROM e GROUP BY 1),
-j AS (SELECT rid, x, owners >= 3 AS example, owners < 3 AND (len(x.v) >= 16 AND regexp_matches(x.v, '[0-9]') AND regexp_matches(x.v, '[A-Za-z]') OR contains(x.v, 'PRIVATE KEY-----')) AS live FROM e JOIN n ON n.key = md5(e.x.v)),
-t AS (SELECT rid, list(x) FILTER (live AND x.k = 3) AS added, (count(DISTINCT (x.e - len(x.v), x.e)) FILTER (live))::BIGINT AS n_live, (count(DISTINCT x) FILTER (example))::BIGINT AS n_example FROM j GROUP BY 1)
+e AS (SELECT rid, doc_id, source, unnest(list_concat(base, extra)) AS x FROM h),
+n AS (SELECT md5(x.v) AS key, count(DISTINCT source) AS owners, count(DISTINCT doc_id) AS repos FROM e GROUP BY 1),
+j AS (SELECT rid, x, owners, repos, owners >= 3 OR repos >= 100 AS example, owners < 3 AND repos < 100 AND (len(x.v) >= 16 AND regexp_matches(x.v, '[0-9]') AND regexp_matches(x.v, '[A-Za-z]') OR contains(x.v, 'PRIVATE KEY-----')) AS live FROM e JOIN n ON n.key = md5(e.x.v)),
+t AS (SELECT rid, list(x) FILTER (live AND x.k = 3) AS added, (count(DISTINCT (x.e - len(x.v), x.e)) FILTER (live))::BIGINT AS n_live, (count(DISTINCT x) FILTER (example))::BIGINT AS n_example, max(repos)::BIGINT AS most_repos, max(owners)::BIGINT AS most_owners FROM j GROUP BY 1)
 SELECT doc_id, len(a)::BIGINT AS n_assign, len(b)::BIGINT AS n_access, len(c)::BIGINT AS n_hex, sha256({_sql_text("base")}) AS base_sha256, {_sql_text("list_concat(base, coalesce(added, []))")} AS spans,
-  coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_example, 0)::BIGINT AS n_example FROM h LEFT JOIN t USING (rid)
+  coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_example, 0)::BIGINT AS n_example, coalesce(most_repos, 0)::BIGINT AS most_repos, coalesce(most_owners, 0)::BIGINT AS most_owners FROM h LEFT JOIN t USING (rid)
 """

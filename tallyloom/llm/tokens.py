@@ -8,7 +8,8 @@ piece is counted once per worker (a cache of bounded size), so the merging runs
 Of a tokenizer file it needs a byte-level BPE without normaliser, as its pre-tokeniser's usual pattern splits it; others are refused.
 
 Nulls and edges: a null or empty text has 0 bytes and 0 tokens; strings of added tokens inside a text count as one token each, as the
-library has it; repeated rows give repeated rows; an empty table gives an empty result.  Extra columns are left out.
+library has it; a very long text is one row, read whole (a piece of it takes some 100 bytes a byte while it is merged); ties of pairs go to the left one, as the
+library has it; pieces that differ have different 64-bit hashes but for a chance of 5e-20 a pair; repeated rows give repeated rows; an empty table gives an empty result.  Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -43,8 +44,8 @@ class Counter:
         pre, model = tok.get("pre_tokenizer") or {}, tok["model"]
         if model.get("type", "BPE") != "BPE" or pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space") or tok.get("normalizer") or model.get("ignore_merges"):
             raise ValueError("only a byte-level BPE without normaliser or prefix space is supported")
-        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tok.get("added_tokens", [])):
-            raise ValueError("added tokens that strip spaces or need word edges aren't supported")
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or regex.search(r"\s", t["content"]) for t in tok.get("added_tokens", [])):
+            raise ValueError("added tokens that hold or strip spaces, or need word edges, aren't supported")
         ids = model["vocab"]
         self.first = [ids[s] for s in _byte_symbols()]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]

@@ -13,7 +13,9 @@ broadcast is bounded whatever the list's size. A host with a third of all pages
 Rules come first: of the rules whose host is the page's or one of its parents, and whose path its path starts with, the longest (host, then path)
 decides; without one the cascade does.
 
-Nulls and edges: a null url, or one without ``://``, has empty host and path, and the empty host is never listed; repeated rows are judged alike; an
+The list is an argument; the tables have none, so the query takes ``stand_in_list``.
+
+Nulls and edges: a very long url is read whole; of rules of equal lengths that fit the later one in the given order decides; a null url, or one without ``://``, has empty host and path, and the empty host is never listed; repeated rows are judged alike; an
 empty table, or an empty list, gives filters without bits. Extra columns are left out.
 """
 
@@ -181,15 +183,15 @@ def judge(pages: DataFrame, listed: DataFrame, *, id_col: str = "page_id", url_c
     return rows.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.coalesce("_r.verdict", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
 
 
-def blocked_hosts(pages: DataFrame, *, url_col: str = "url", rules=RULES) -> DataFrame:
-    """The list of the query: hosts of which a rule blocks some page and allows none."""
-    rows = pages.select(host_of(F.col(f"`{url_col}`")).alias("host"), rule_of(host_of(F.col(f"`{url_col}`")), path_of(F.col(f"`{url_col}`")), rules)["verdict"].alias("v"))
-    return rows.where("v is not null").groupBy("host").agg(F.bool_and(F.col("v") == "block").alias("all")).where("all").select("host")
+def stand_in_list(pages: DataFrame, *, url_col: str = "url") -> DataFrame:
+    """A list for want of one among the tables, which owes nothing to the rules: the hosts whose SHA-256 begins with 0 or 1, about an eighth."""
+    hosts = pages.select(host_of(F.col(f"`{url_col}`")).alias("host")).where("host != ''").distinct()
+    return hosts.where(F.substring(F.sha2("host", 256), 1, 1).isin("0", "1"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return judge(pages, blocked_hosts(pages))
+    return judge(pages, stand_in_list(pages))
 
 
 ORACLE = """
@@ -200,6 +202,6 @@ c AS (SELECT *, CASE WHEN (host = 'example.com' OR host LIKE '%.example.com') AN
   WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
   WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM b),
 d AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS v FROM c),
-l AS (SELECT host FROM d WHERE v IS NOT NULL AND host != '' GROUP BY host HAVING bool_and(v = 'block'))
+l AS (SELECT DISTINCT host FROM d WHERE host != '' AND substr(sha256(host), 1, 1) IN ('0', '1'))
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host IN (SELECT host FROM l) THEN 'block' ELSE 'allow' END) AS verdict, host IN (SELECT host FROM l) AS listed FROM d
 """

@@ -44,3 +44,16 @@ def test_empty_and_extra_columns(spark):
     extra = df.select("*", *[F.lit(1).alias(c) for c in ("block", "position", "a", "h", "n", "offset", "last")])
     assert collapsed(extra) == collapsed(df) and set(collapsed(df)) == {1}
     assert chat.collapse(df.where("false")).count() == 0
+
+
+def test_turns_that_only_look_alike(spark):
+    rows = [(1, 0, "a\nb", "c"), (2, 0, "a", "b\nc"), (3, 0, "a", "b"), (3, 1, "c", ""), (4, 0, "a", "bc"), (5, 0, "ab", "c"), (6, 0, "1:a", "b"), (7, 0, "1", ":ab")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    assert collapsed(df) == brute(rows) and len(collapsed(df)) == 7
+
+
+def test_very_long_texts_and_many_rows_of_one_turn(spark):
+    rows = [(1, 0, "user", "long " * 200_000), (1, 1, "bot", "x"), (2, 0, "user", "long " * 200_000)]
+    rows += [(None, t % 3, "user", f"{t}") for t in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(5)
+    assert collapsed(df) == brute(rows)

@@ -99,6 +99,35 @@ def test_short_items_leave_the_long_ones_their_tables():
     assert min(got.values()) >= 0.95, got
 
 
+def test_many_items_of_all_lengths():
+    rng = random.Random(17)
+    sizes = [3 + i % 58 for i in range(2000)]
+    texts = invented(sizes)
+    index = decontam.Index(list(range(2000)), texts)
+    assert set(index.recall) == set(sizes) and min(index.recall.values()) >= 0.98
+    spaces = [" ".join(f"f{rng.randrange(10**6)}" for _ in range(30)) for _ in texts]
+    found = {(d, i) for d, (a, t) in enumerate(zip(spaces, texts)) for s in [decontam.sequences([a + " " + t + " " + a])[0]] for _, i, _, e in index.search(s, np.array([0, len(s)])) if e == 0}
+    assert {(i, i) for i in range(2000)} <= found
+    gen, hits = np.random.default_rng(5), {}
+    for i in range(2000):
+        words = decontam._edited(index.items[i], int(index.permitted[i]), gen)
+        hits.setdefault(sizes[i], []).append(any(j == i for _, j, *_ in index.search(words, np.array([0, len(words)]))))
+    assert np.mean([h for x in hits.values() for h in x]) >= 0.98 and min(np.mean(x) for x in hits.values()) >= 0.85
+
+
+def test_index_of_bounded_bytes(monkeypatch):
+    monkeypatch.setattr(decontam, "INDEX_BYTES", 1)
+    got = recall_by_length(invented([30, 60, 150]))
+    assert min(got.values()) >= 0.95, got
+
+
+def test_very_long_item_and_text():
+    long = invented([4000])[0]
+    index = decontam.Index([0, 1], [long, "one short item of six words"])
+    text = decontam.sequences([" ".join(invented([9000])) + " x " + long + " one short item of six words " + " ".join(invented([9000]))])[0]
+    assert [(i, e) for _, i, _, e in index.search(text, np.array([0, len(text)]))] == [(0, 0), (1, 0)]
+
+
 def test_blocks_give_the_same(spark, monkeypatch):
     items = [(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(12)]
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")

@@ -17,9 +17,9 @@ def tree(text):
         inner, hashes = [], []
         for paragraph in section.split("\n"):
             own = [md5(x) for x in LEAF.findall(paragraph)]
-            leaves |= {x[:8] for x in own}
+            leaves |= {x[:16] for x in own}
             hashes.append(md5("".join(own)))
-            inner.append(f"{hashes[-1][:8]}:{','.join(x[:8] for x in own)}")
+            inner.append(f"{hashes[-1][:8]}:{','.join(x[:16] for x in own)}")
         nodes.append(md5("".join(hashes)))
         out += f"{nodes[-1][:8]}{{{';'.join(inner)}}}"
     root = hashlib.sha256("".join(nodes).encode()).hexdigest()
@@ -56,3 +56,32 @@ def test_edges(docs, no_docs):
     assert len(alone) == 1 and alone[0].near_next == 1.0
     marked = fingerprints.fingerprints(docs.drop("root"))
     assert {"root", "fingerprint"} < set(marked.columns) and marked.count() == docs.count()
+    # names that are taken
+    both = fingerprints.fingerprints(docs)
+    assert both.columns == [*docs.columns, "_root", "fingerprint"] and {r.root for r in both.collect()} == {"x"}
+
+
+def lacking(a, b):
+    """(side, section, paragraph, leaf, text) by plain Python: parts of a branch that the other text's branches of that level lack."""
+    out = set()
+    parts = {"a": [(i, s) for i, s in enumerate(a.split("\n\n"))], "b": [(i, s) for i, s in enumerate(b.split("\n\n"))]}
+    node = lambda p: md5("".join(md5(x) for x in LEAF.findall(p)))
+    whole = lambda s: md5("".join(node(p) for p in s.split("\n")))
+    opened = {k: [(i, j, p) for i, s in v if whole(s) not in {whole(x) for _, x in parts["ba"[k == "b"]]} for j, p in enumerate(s.split("\n"))] for k, v in parts.items()}
+    deeper = {k: [(i, j, n, x) for i, j, p in v if node(p) not in {node(q) for _, _, q in opened["ba"[k == "b"]]} for n, x in enumerate(LEAF.findall(p))] for k, v in opened.items()}
+    for k, v in deeper.items():
+        out |= {(k, i, j, n, x) for i, j, n, x in v if x not in {y for *_, y in deeper["ba"[k == "b"]]}}
+    return out
+
+
+def test_diff_locates_edits(spark):
+    from pyspark.sql import functions as F
+
+    text = "First one. And two.\nA paragraph.\n\nSecond section. With more.\nLast words here."
+    pairs = [(1, text, text.replace("two", "three")), (2, text, text), (3, text, "Intro.\n\n" + text), (4, text, None), (5, None, ""), (6, text, text.replace("A paragraph.\n", "")), (7, "x. " * 90_000 + "end.", "x. " * 90_000 + "fin."), (None, "a. b", "a. c")]
+    df = spark.createDataFrame(pairs + pairs[:1], "doc_id bigint, old string, new string").withColumn("row", F.lit(1))
+    got = {tuple(r) for r in fingerprints.diff(df, F.col("old"), F.col("new")).collect()}
+    assert got == {(i, *x) for i, a, b in pairs for x in lacking(a or "", b or "")}
+    assert {x for x in got if x[0] == 1} == {(1, "a", 0, 0, 1, " And two."), (1, "b", 0, 0, 1, " And three.")}
+    assert {x[1:] for x in got if x[0] == 3} == {("b", 0, 0, 0, "Intro.")}
+    assert fingerprints.diff(df.where("false"), F.col("old"), F.col("new")).count() == 0

@@ -51,3 +51,12 @@ def test_edges(spark, docs, no_docs):
     assert emitted.columns == [*docs.columns, "mix_copy"]
     assert emitted.count() == sum(r.copies for r in got)
     assert mixing.emit(no_docs).count() == 0
+
+
+def test_a_column_named_as_the_copys_number(spark, docs):
+    from pyspark.sql import functions as F
+
+    out = mixing.emit(docs.withColumn("mix_copy", F.lit("mine")))
+    assert out.columns == [*docs.columns, "mix_copy", "_mix_copy"]
+    assert {r.mix_copy for r in out.collect()} == {"mine"} and {r._mix_copy for r in out.collect()} >= {1}
+    assert out.count() == mixing.emit(docs).count()

@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -6,9 +8,20 @@ from tallyloom.llm import neardup
 from tallyloom.llm.shared import components
 
 
+def shingles(text):
+    """Multiset of shingles of five words, by plain Python; a shorter text is one shingle."""
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)) if words)
+
+
+def similarity(a, b):
+    least = sum((a & b).values())
+    return least / (sum(a.values()) + sum(b.values()) - least) if a or b else 1.0
+
+
 def classes_by_brute_force(rows, threshold=0.8):
-    sets = [neardup._multiset(t or "") for _, t in rows]
-    size = [int(s[1].sum()) for s in sets]
+    sets = [shingles(t) for _, t in rows]
+    size = [sum(s.values()) for s in sets]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -18,7 +31,7 @@ def classes_by_brute_force(rows, threshold=0.8):
 
     for i in range(len(rows)):
         for j in range(i):
-            if find(i) != find(j) and min(size[i], size[j]) >= threshold * max(size[i], size[j]) and neardup._similarity(sets[i], sets[j]) >= threshold:
+            if find(i) != find(j) and min(size[i], size[j]) >= threshold * max(size[i], size[j]) and similarity(sets[i], sets[j]) >= threshold:
                 parent[find(i)] = find(j)
     least = {}
     for k, (i, _) in enumerate(rows):
@@ -41,7 +54,15 @@ def test_against_brute_force(spark):
     for _ in range(250):  # one large group, many of whose pairs are below the threshold
         rows.append((len(rows), " ".join(varied(base, rng.choice([0.005, 0.01, 0.02, 0.03, 0.05]), rng))))
     rows += [(len(rows) + i, t) for i, t in enumerate(["", "  ", "one two", "ONE, two", "two one", "a a a a a a a a", "a a a a a a a a a"])]
-    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    found = neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    got = {r.doc_id: r.class_id for r in found}
+    groups = Counter(got.values())
+    texts = {i: shingles(t) for i, t in rows}
+    for r in found:
+        alone = all(texts[i] == texts[r.doc_id] for i, c in got.items() if c == r.class_id) if groups[r.class_id] > 1 else True
+        assert (r.n_links == 0) == (r.similarity is None) == alone
+        if not alone and r.doc_id < 60:
+            assert any(abs(similarity(texts[r.doc_id], texts[i]) - r.similarity) < 1e-6 for i in got if i != r.doc_id)
     want = classes_by_brute_force(rows)
     wrong = sum(got[i] != want[i] for i in want)
     assert len(got) == len(rows) and wrong <= 0.01 * len(rows), wrong
@@ -84,6 +105,12 @@ def test_components(spark):
     assert components(df.where("false")).count() == 0
 
 
+def test_ties_of_repeated_rows(spark):
+    rows = [(1, "one text of six words here", "b"), (1, "one text of six words here", "a"), (1, "one text of six words here", None), (2, "another text of six other words", "z")]
+    out = neardup.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, other string")).collect()
+    assert sorted(map(tuple, out)) == [rows[1], rows[3]]
+
+
 def test_edges(docs, no_docs):
     got = neardup.classes(docs).collect()
     assert len(got) == docs.count()

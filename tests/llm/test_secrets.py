@@ -83,3 +83,19 @@ def test_edges(docs, no_docs):
     # a value of 13 characters isn't live-looking, so that text stays; so do null ones
     assert {r.text for r in out.where("doc_id is null").collect()} == {None, "An unnamed text with password=abcdefgh12345 in it."}
     assert secrets.scan(no_docs).count() == 0 and secrets.redact(no_docs).count() == 0
+
+
+def test_repositories_and_owners_decide(spark):
+    many, few, some = "ghp_" + "a1B2c3D4e5" * 4, "ghp_" + "Z9y8X7w6V5" * 4, "ghp_" + "Q1w2E3r4T5" * 4
+    rows = [(i, many, "s0") for i in range(120)] + [(200 + i, few, "s0") for i in range(40)] + [(300 + i, some, f"s{i}") for i in range(3)]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert (got[0].n_live, got[0].n_example, got[0].most_repos, got[0].most_owners) == (0, 1, 120, 1)
+    assert (got[200].n_live, got[200].n_example, got[200].most_repos, got[200].most_owners) == (1, 0, 40, 1)
+    assert (got[300].n_live, got[300].n_example, got[300].most_repos, got[300].most_owners) == (0, 1, 3, 3)
+
+
+def test_very_many_spans_in_one_text(spark):
+    text = "\n".join("0123456789abcdef" * 2 + f"{i % 10}" for i in range(30_000))
+    got = secrets.scan(spark.createDataFrame([(1, text, "a"), (2, text[:34 * 129], "a"), (3, text[:34 * 128], "b")], "doc_id bigint, text string, source string")).collect()
+    for r, t in zip(sorted(got), (text, text[: 34 * 129], text[: 34 * 128]), strict=True):
+        assert r.base_sha256 == hashlib.sha256(",".join(base(t)).encode()).hexdigest()

@@ -30,3 +30,12 @@ def test_edges(docs, no_docs):
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError):
         tokens.Counter(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+
+
+def test_added_tokens_with_spaces_are_refused():
+    import json
+
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    spec["added_tokens"] = [dict(spec["added_tokens"][0], content="two words")] if spec.get("added_tokens") else [{"content": "two words", "single_word": False, "lstrip": False, "rstrip": False}]
+    with pytest.raises(ValueError):
+        tokens.Counter(json.dumps(spec))

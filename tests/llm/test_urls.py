@@ -63,4 +63,24 @@ def test_edges(spark):
     assert not urls.judge(extra, none).where("listed").count()
     assert urls.judge(extra.where("false"), none).count() == 0
     twice = pages.union(pages)
-    assert urls.judge(twice, urls.blocked_hosts(twice)).count() == 2 * pages.count()
+    assert urls.judge(twice, urls.stand_in_list(twice)).count() == 2 * pages.count()
+
+
+def test_the_list_decides_only_where_no_rule_does(spark):
+    import hashlib
+
+    all_urls, pages = table(spark)
+    got = urls.judge(pages, urls.stand_in_list(pages)).collect()
+    for r in got:
+        assert r.listed == (r.host != "" and hashlib.sha256(r.host.encode()).hexdigest()[0] in "01")
+        assert r.verdict == (RULES[r.rule] if r.rule else "block" if r.listed else "allow")
+    assert any(r.listed and r.rule is None for r in got) and any(r.listed and r.verdict == "allow" for r in got)
+    assert any(not r.listed and r.host.endswith("example.com") and r.verdict == "allow" for r in got)
+
+
+def test_very_long_urls_and_ties_of_rules(spark):
+    long = "http://a.example.com/" + "x" * 300_000
+    df = spark.createDataFrame([(1, long + "?q"), (1, long + "?q"), (2, "http://one.two/de/")], "page_id bigint, url string")
+    none = spark.createDataFrame([], "host string")
+    got = sorted(tuple(r) for r in urls.judge(df, none, rules=(("block", "one.two", "/de/"), ("allow", "one.two", "/de/"))).collect())
+    assert [g[4] for g in got] == ["allow"] * 3 and len(got[0][2]) == 300_001
