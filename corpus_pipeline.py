@@ -1,7 +1,9 @@
 """The corpus pipeline: five stages over ``documents``, each on all that its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's ``docs``.  All but
-the last return the columns of ``documents``.  Nulls, empty and repeated rows, empty tables and extra columns are handled as each operator states.
+the last return the columns of ``documents``; the last adds ``mix_copy`` (``_mix_copy`` if there is such a column).  Nulls, empty, very long and repeated
+rows, ties, empty tables and extra columns are handled as each operator states.  ``run`` deletes a stage's folder and the tables made for it when the next
+stage's is written; only the last one stays.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm import decontam, mixing, neardup, quality, secrets
-from tallyloom.llm.shared import shared_folder
+from tallyloom.llm.shared import delete, scratch, shared_folder
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +32,8 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; values of owner-specific live-looking credentials are replaced in their texts."""
-    return secrets.redact(docs)
+    """All documents; values of owner-specific credentials, of any shape but placeholders, are replaced in their texts."""
+    return secrets.redact(docs, any_shape=True)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +46,16 @@ STAGES = [("quality", good), ("near_duplicates", unique), ("decontamination", un
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     folder = f"{shared_folder(spark)}/tallyloom/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{name}")
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{folder}/{name}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
+        if last:
+            delete(spark, last)
+        last = f"{folder}/{name}"
     return docs
 
 

@@ -63,15 +63,17 @@ def test_edges(docs, no_docs):
 
 def lacking(a, b):
     """(side, section, paragraph, leaf, text) by plain Python: parts of a branch that the other text's branches of that level lack."""
-    out = set()
-    parts = {"a": [(i, s) for i, s in enumerate(a.split("\n\n"))], "b": [(i, s) for i, s in enumerate(b.split("\n\n"))]}
     node = lambda p: md5("".join(md5(x) for x in LEAF.findall(p)))
     whole = lambda s: md5("".join(node(p) for p in s.split("\n")))
-    opened = {k: [(i, j, p) for i, s in v if whole(s) not in {whole(x) for _, x in parts["ba"[k == "b"]]} for j, p in enumerate(s.split("\n"))] for k, v in parts.items()}
-    deeper = {k: [(i, j, n, x) for i, j, p in v if node(p) not in {node(q) for _, _, q in opened["ba"[k == "b"]]} for n, x in enumerate(LEAF.findall(p))] for k, v in opened.items()}
-    for k, v in deeper.items():
-        out |= {(k, i, j, n, x) for i, j, n, x in v if x not in {y for *_, y in deeper["ba"[k == "b"]]}}
-    return out
+
+    def apart(parts, key):
+        have = {k: {key(v[-1]) for v in vs} for k, vs in parts.items()}
+        return {k: [v for v in vs if key(v[-1]) not in have["ba"[k == "b"]]] for k, vs in parts.items()}
+
+    parts = apart({k: list(enumerate(t.split("\n\n"))) for k, t in (("a", a), ("b", b))}, whole)
+    parts = apart({k: [(i, j, p) for i, s in v for j, p in enumerate(s.split("\n"))] for k, v in parts.items()}, node)
+    parts = apart({k: [(i, j, n, x) for i, j, p in v for n, x in enumerate(LEAF.findall(p))] for k, v in parts.items()}, str)
+    return {(k, *v) for k, vs in parts.items() for v in vs}
 
 
 def test_diff_locates_edits(spark):
