@@ -7,7 +7,8 @@ over its buckets of log((target's count + 1) / (the count that the raw model mak
 
 The models count as alike in all buckets but those that show what target text lacks, so that the many words of a long text don't add up to a verdict:
 
-* the labelled documents that aren't target have the bucket ``DISTINCT`` times or more, and for their size ``TELLS`` times as often as the target's;
+* the labelled documents that aren't target have the bucket ``DISTINCT`` times or more, and for their size ``TELLS`` times as often as the target's, which
+  have it by ``SIGNIFICANT`` standard deviations less often than if both were alike;
 * the target has it by a factor of ``TELLS`` less often than raw text, and by ``SIGNIFICANT`` standard deviations.
 
 None counts for more than a factor of ``MOST``, so that one n-gram alone leaves a chance. Among the labelled documents a group
@@ -219,7 +220,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     sums = written(sums.where((F.col("bad") >= DISTINCT) | (F.col("bucket") < 0)), "quality-sums")
     if (mass := sums.where("bucket < 0").first()) is None or not mass.target:
         return model
-    sums = sums.where((F.col("bucket") >= 0) & (F.col("bad") >= (F.col("target") + 1) * (TELLS * mass.bad / mass.target))).toArrow().sort_by("bucket")
+    alike = (F.col("bad") + F.col("target")) * (mass.target / (mass.bad + mass.target))
+    shown = (F.col("bad") >= (F.col("target") + 1) * (TELLS * mass.bad / mass.target)) & (alike - F.col("target") >= SIGNIFICANT * F.sqrt(alike + 1))
+    sums = sums.where((F.col("bucket") >= 0) & shown).toArrow().sort_by("bucket")
     if not sums.num_rows:
         return model
     n_target, asked = sums["target"].to_numpy(), Lookup(sums["bucket"].to_numpy())

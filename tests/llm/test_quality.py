@@ -98,6 +98,8 @@ def by_brute_force(docs, marks, seed=0):
     for g, n_bad in counts[True].items():
         expected, n = raw[g] * mass[False] / sum(raw.values()), counts[False][g]
         rare = (n + 1) / (expected + 1) <= 0.1 and expected - n >= 5 * math.sqrt(expected + 1)
+        alike = (n_bad + n) * mass[False] / (mass[True] + mass[False])
+        rare = rare and alike - n >= 5 * math.sqrt(alike + 1)
         if n_bad >= 8 - 1e-9 and rare and n_bad >= 10 * (n + 1) * mass[True] / mass[False]:
             ratio[g] = max(math.log((n + 1) / (expected + 1)), -math.log(100))
     out = {}
