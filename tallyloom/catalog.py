@@ -46,7 +46,7 @@ def tokenize_counts(spark, d):
 
 @query("SELECT doc_id, len(l)::BIGINT AS n_tokens, md5(array_to_string(l, ' ')) AS digest FROM (SELECT doc_id, regexp_extract_all(replace(lower(nfc_normalize(coalesce(text, ''))), 'ß', 'ss'), '[\\p{L}\\p{N}\\p{M}]+') AS l FROM documents)")
 def tokenize_udf(spark, d):
-    rows = inputs.table(spark, d, "documents").select("doc_id", text.lexical_tokens("text").alias("l"))
+    rows = inputs.table(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("l"))
     return rows.select("doc_id", F.size("l").cast("long").alias("n_tokens"), F.md5(F.array_join("l", " ")).alias("digest"))
 
 
@@ -672,3 +672,6 @@ def streaming_feature_stats(spark, d):
     rows = spark.readStream.schema(schema).parquet(f"{d}/document[s].parquet").select(F.col("doc_id").cast("string").alias("item"), "text")
     streaming.write(streaming.running_stats(rows), f"{folder}/out", f"{folder}/state").awaitTermination()
     return streaming.latest(spark, f"{folder}/out")
+
+
+from tallyloom import catalog_studies  # noqa: E402, F401  (registers its queries by the decorator above)

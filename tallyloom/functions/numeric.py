@@ -42,3 +42,8 @@ def dot(a: Column, b: Column) -> Column:
 def hash_key(seed: str, key: Column) -> Column:
     """Order by this is order by the SHA-256 of ``seed:key``, whatever the input's order."""
     return F.sha2(F.concat(F.lit(seed + ":"), key.cast("string")), 256)
+
+
+def softplus(x: Column) -> Column:
+    """ln(1 + e**x), without overflow."""
+    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))

@@ -48,6 +48,20 @@ def shapley() -> list[Column]:
     return out
 
 
+def weighted_effect(table: DataFrame, weight: str = "weight") -> DataFrame:
+    """As ``paired_effect``, of means in which each key counts by its (positive) weight."""
+    total = F.sum(weight)
+    means = table.agg(*[(F.sum(F.col(c) * F.col(weight)) / total).alias(c) for c in CONFIGS])
+    return paired_effect(means)
+
+
+def responsive_on_average(table: DataFrame) -> DataFrame:
+    """How many switches change the mean over all keys in some pair of settings, exactly; values are summed as decimals, so that order changes nothing."""
+    means = table.agg(*[F.sum(F.col(c).cast("decimal(28,12)")).alias(c) for c in CONFIGS])
+    moved = [F.greatest(*[(F.col(c) != F.col(c[:i] + "1" + c[i + 1 :])).cast("int") for c in CONFIGS if c[i] == "0"]) for i in range(3)]
+    return means.select(sum(moved, F.lit(0)).alias("responsive_switches"))
+
+
 def responsive(table: DataFrame, by: str = "query", tolerance: float = 1e-12) -> DataFrame:
     """How many switches change some key's value in some pair of settings."""
     moved = []
@@ -92,9 +106,11 @@ def fit_metrics(rows: DataFrame, estimate: str = "estimate", target: str = "targ
 
 
 def precision_weights(rows: DataFrame, variance: str = "variance") -> DataFrame:
-    """1 / variance with the variance at least a twentieth of the median, at most 20 times the median weight, mean 1."""
-    floor = rows.agg((F.percentile(variance, F.lit(0.5)) / 20).alias("_floor"))
-    raw = rows.crossJoin(F.broadcast(floor)).withColumn("_w", 1 / F.greatest(variance, "_floor"))
+    """1 / variance with the variance (null is 0) at least a twentieth of the median of the positive ones, at most 20 times the median weight, mean 1; all 1
+    without a positive variance."""
+    own = F.coalesce(F.col(variance).cast("double"), F.lit(0.0))
+    floor = rows.agg((F.percentile(F.when(own > 0, own), F.lit(0.5)) / 20).alias("_floor"))
+    raw = rows.crossJoin(F.broadcast(floor)).withColumn("_w", F.when(F.col("_floor").isNull(), 1.0).otherwise(1 / F.greatest(own, F.coalesce("_floor", F.lit(1.0)))))
     cap = raw.agg((F.percentile("_w", F.lit(0.5)) * 20).alias("_cap"))
     capped = raw.crossJoin(F.broadcast(cap)).withColumn("_w", F.least("_w", "_cap"))
     mean = capped.agg(F.avg("_w").alias("_mean"))

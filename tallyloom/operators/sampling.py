@@ -16,12 +16,19 @@ def bottom_hash(rows: DataFrame, key: Column, k: int, seed: str) -> DataFrame:
 def split(rows: DataFrame, key: Column, fraction: float, seed: str) -> DataFrame:
     """Adds ``part``: validation for max(1, floor(n * fraction)) rows of the least hash, train for the rest.
 
-    The size of the validation part is exact; its largest hash is found by a limit, so no window goes over all rows.
+    The size of the validation part is exact; its largest hash is found by counts of the hashes' first four digits and a limit within the range that holds
+    it, so no task sees more than a 65,536th of the rows.
     """
-    n = rows.count()
-    size = max(1, int(n * fraction)) if n else 0
     marked = rows.withColumn("_h", F.concat(hash_key(f"split:{seed}", key), key.cast("string")))
-    last = marked.select("_h").orderBy("_h").limit(size).agg(F.max("_h").alias("_last"))
+    counts = sorted(map(tuple, marked.groupBy(F.substring("_h", 1, 4).alias("b")).count().where("b is not null").collect()))
+    n = sum(c for _, c in counts)
+    left = max(1, int(n * fraction)) if n else 0
+    for at, c in counts:  # noqa: B007
+        if left <= c:
+            break
+        left -= c
+    bin_rows = marked.select("_h").where(F.substring("_h", 1, 4) == at) if counts else marked.select("_h").where("false")
+    last = bin_rows.orderBy("_h").limit(left).agg(F.max("_h").alias("_last"))
     return marked.crossJoin(F.broadcast(last)).withColumn("part", F.when(F.col("_h") <= F.col("_last"), "validation").otherwise("train")).drop("_h", "_last")
 
 

@@ -31,7 +31,7 @@ def bootstrap(values: np.ndarray, draws: int = DRAWS, seed: int = SEED) -> dict:
     ends = np.percentile(m, [2.5, 97.5]) if len(m) else (np.nan, np.nan)
     return {
         "n": n, "delta": delta.mean(), "low": low, "high": high, "p": (1 + (np.abs(d - delta.mean()) >= abs(delta.mean())).sum()) / (draws + 1),
-        "margin": full, "margin_low": ends[0], "margin_high": ends[1], "margin_variance": m.var() if len(m) else np.nan,
+        "margin": full, "margin_low": ends[0], "margin_high": ends[1], "margin_variance": m.var(ddof=1) if len(m) > 1 else np.nan,
     }
 
 
@@ -76,14 +76,17 @@ def predict(model: dict, x: np.ndarray) -> np.ndarray:
 
 
 def choose_alpha(x, y, groups, weights=None, alphas=ALPHAS) -> float:
-    """Least mean absolute error with one group left out at a time; ties go to the smaller penalty."""
-    names = np.unique(groups)
-    if len(names) < 2:
-        return alphas[0]
+    """The penalty of the least error with one group left out at a time: the mean over groups of each one's mean absolute error.
+
+    Groups that leave fewer than two rows to fit on are passed over; ties go to the smaller penalty; with a single group it is 1.
+    """
+    names = [g for g in np.unique(groups) if (groups != g).sum() >= 2]
+    if len(np.unique(groups)) < 2:
+        return 1.0
     errors = []
     for alpha in alphas:
-        wrong = [np.abs(predict(ridge(x[groups != g], y[groups != g], alpha, None if weights is None else weights[groups != g]), x[groups == g]) - y[groups == g]) for g in names]
-        errors.append(np.concatenate(wrong).mean())
+        left_out = ((groups == g, ridge(x[groups != g], y[groups != g], alpha, None if weights is None else weights[groups != g])) for g in names)
+        errors.append(np.mean([np.abs(predict(model, x[own]) - y[own]).mean() for own, model in left_out]) if names else np.inf)
     return alphas[int(np.argmin(errors))]
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-_TOKENS = r"regexp_extract_all(replace(lower(coalesce({0}, '')), 'ß', 'ss'), '[\p{{L}}\p{{N}}\p{{M}}]+')"
+_TOKENS = r"regexp_extract_all(replace(lower(nfc_normalize(coalesce({0}, ''))), 'ß', 'ss'), '[\p{{L}}\p{{N}}\p{{M}}]+')"
 CONFIG_LIST = "['000', '001', '010', '011', '100', '101', '110', '111']"
 _S = [f"s{i:03b}" for i in range(8)]
 

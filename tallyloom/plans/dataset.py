@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.numeric import CONFIGS, K1
-from tallyloom.functions.text import lexical_tokens
+from tallyloom.functions.text import tokens as tokens_of
 from tallyloom.operators import effects, integrity, metrics, scoring, search, sparse, stats
 from tallyloom.sources import collections as sources
 
@@ -37,7 +37,7 @@ def prepare(
 def index(documents: DataFrame, out: str, budget: int | None = None, binary: bool = False) -> dict[str, DataFrame]:
     """Postings with all that any setting needs, and their statistics, written under ``out``; at most ``budget`` terms of each document."""
     spark = documents.sparkSession
-    tokens = documents.select("item", lexical_tokens("content").alias("tokens"))
+    tokens = documents.select("item", tokens_of(F.col("content")).alias("tokens"))
     features = sparse.sparsify(sparse.counts(tokens, binary), budget)
     features.write.mode("overwrite").parquet(f"{out}/features")
     features = spark.read.parquet(f"{out}/features")
@@ -54,7 +54,7 @@ def evaluate(indexed: dict[str, DataFrame], queries: DataFrame, qrels: DataFrame
     """Rankings of judged queries (zero-padded to k), metrics per query and setting, their means, and the effect of the correction."""
     spark = queries.sparkSession
     asked = queries.join(qrels.select("query").distinct(), "query", "left_semi")
-    terms = asked.select("query", F.explode(F.array_distinct(lexical_tokens("text"))).alias("feature")).withColumn("value", F.lit(1.0))
+    terms = asked.select("query", F.explode(F.array_distinct(tokens_of(F.col("text")))).alias("feature")).withColumn("value", F.lit(1.0))
     scored = scoring.by_config(scoring.scores(terms, indexed["postings"], k1, configs), configs)
     own = search.top_k(scored, k, exclude=F.col("query") == F.col("item") if exclude_self else None)
     groups = asked.select("query").crossJoin(F.broadcast(spark.createDataFrame([(c,) for c in configs], "config string")))

@@ -79,13 +79,24 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query, item, grade: documents that hold a passage; 2 if labelled good and else 1.  The passages are a stated query set, broadcast while small."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    """query, item, grade: documents that hold a passage; 2 if labelled good and else 1.
+
+    A document that holds a passage has all its words but the outer two, and so its second to fourth in a row: candidates are joined by these, and then
+    read.  The few passages of fewer than five words have no such key and are looked for in all documents.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")
     passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query"), F.trim("text").alias("passage")).where("passage != ''")
+    passages = passages.withColumn("w", F.split("passage", r"\s+"))
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(1))
 
     def make() -> DataFrame:
-        hits = docs.join(scoring.small(passages, 100_000), F.contains("text", F.col("passage"))).select("query", "doc_id")
+        keyed = passages.where(F.size("w") >= 5).select("query", "passage", F.concat_ws(" ", F.slice("w", 2, 3)).alias("key"))
+        words = F.split("text", r"\s+")
+        runs = F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("w", i, 3))))
+        places = docs.withColumn("w", words).select("doc_id", "text", F.explode(F.array_distinct(runs)).alias("key"))
+        hits = places.join(scoring.small(keyed, 100_000), "key").where(F.contains("text", F.col("passage"))).select("query", "doc_id")
+        short = passages.where(F.size("w") < 5).select("query", "passage")
+        hits = hits.unionByName(docs.join(scoring.small(short, 100_000), F.contains("text", F.col("passage"))).select("query", "doc_id"))
         return hits.join(good, "doc_id", "left").select("query", F.col("doc_id").cast("string").alias("item"), (1 + F.coalesce("good", F.lit(0))).alias("grade"))
 
     return held(spark, sf_dir, "qrels", make)

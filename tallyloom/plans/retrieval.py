@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators import metrics, search
+from tallyloom.operators import metrics, scoring, search
 from tallyloom.plans import inputs
 
 
@@ -14,7 +14,7 @@ def judged_rankings(spark: SparkSession, sf_dir: str, k: int = inputs.DEPTH) ->
 
     def make() -> DataFrame:
         judged = inputs.qrels(spark, sf_dir).select("query").distinct()
-        own = inputs.ranked(spark, sf_dir).join(F.broadcast(judged), "query", "left_semi")
+        own = inputs.ranked(spark, sf_dir).join(scoring.small(judged, 1_000_000), "query", "left_semi")
         configs = spark.createDataFrame([(c,) for c in _configs()], "config string")
         return search.zero_padded(own, judged.crossJoin(F.broadcast(configs)), inputs.items(spark, sf_dir), k)
 

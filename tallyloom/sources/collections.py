@@ -30,10 +30,14 @@ def queries(spark: SparkSession, path: str, kind: str = "jsonl") -> DataFrame:
 
 
 def qrels(spark: SparkSession, path: str) -> DataFrame:
-    """Judgments from lines of three fields (query, document, grade; a header is skipped) or four (with an unused second one); other lines are errors."""
+    """Judgments from lines of three fields (query, document, grade; a header, told by its first field, is skipped) or four (with an unused second one); other
+    lines are errors.  A path that ends in .jsonl has records of query-id, corpus-id and score."""
+    if path.rstrip("/").endswith(".jsonl"):
+        rows = spark.read.schema("`query-id` string, `corpus-id` string, score int").json(path)
+        return rows.select(F.col("query-id").alias("query_id"), F.col("corpus-id").alias("doc_id"), F.col("score").alias("relevance"))
     parts = F.split(F.trim("value"), r"\s+")
     rows = spark.read.text(path).where("trim(value) != ''").select(parts.alias("p"))
-    rows = rows.where(~((F.size("p") == 3) & F.lower(F.element_at("p", -1)).isin("score", "relevance")))
+    rows = rows.where(~F.element_at("p", 1).isin("query-id", "query_id"))
     doc = F.when(F.size("p") == 3, F.try_element_at("p", F.lit(2))).when(F.size("p") == 4, F.try_element_at("p", F.lit(3))).otherwise(F.raise_error(F.concat(F.lit("not a judgment: "), F.array_join("p", " "))))
     return rows.select(F.element_at("p", 1).alias("query_id"), doc.alias("doc_id"), F.element_at("p", -1).cast("int").alias("relevance"))
 
