@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.scoring import small
+
 
 def judged(ranked: DataFrame, qrels: DataFrame, by=("query", "config")) -> DataFrame:
     """nDCG@10 (linear gain, ideal from all judgments), MRR@10, recall at 100 and 1000, per judged query; 0 for queries without a positive judgment."""
@@ -14,7 +16,7 @@ def judged(ranked: DataFrame, qrels: DataFrame, by=("query", "config")) -> DataF
         F.sum(F.when(F.col("p") <= 10, F.col("grade") / F.log2(F.col("p") + 1.0))).alias("ideal"), F.count_if(F.col("grade") > 0).alias("positives")
     )
     rest = [c for c in by if c != "query"]
-    hits = ranked.select(*by, "item", "rank").join(F.broadcast(grades.where("grade > 0")), ["query", "item"])
+    hits = ranked.select(*by, "item", "rank").join(small(grades.where("grade > 0")), ["query", "item"])
     sums = hits.groupBy(*by).agg(
         F.sum(F.when(F.col("rank") <= 10, F.col("grade") / F.log2(F.col("rank") + 1.0))).alias("dcg"),
         F.min(F.when(F.col("rank") <= 10, F.col("rank"))).alias("first"),

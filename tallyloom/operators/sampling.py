@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.numeric import hash_key
+from tallyloom.session import work_folder
 
 
 def bottom_hash(rows: DataFrame, key: Column, k: int, seed: str) -> DataFrame:
@@ -39,6 +42,18 @@ def quota(rows: DataFrame, group: str, key: Column, per_group: int, capacity: in
     return kept.withColumn("_g", hash_key(seed, F.col(group))).orderBy("_g", "_p").limit(capacity).drop("_g", "_p")
 
 
+def numbered(rows: DataFrame, *order: Column, name: str = "position") -> DataFrame:
+    """Adds each row's place, from 1, in an order of all rows, without a window over all: rows are sorted by ranges and written with their places in their
+    range; the ranges' sizes, one row each, give what stands before."""
+    path = f"{work_folder(rows.sparkSession)}/tallyloom/numbered-{uuid.uuid4().hex}"
+    rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    done = rows.sparkSession.read.parquet(path).withColumn("_range", F.shiftright("_id", 33))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = done.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1
+    return done.join(F.broadcast(ranges), "_range").withColumn(name, place).drop("_id", "_range", "_before")
+
+
 def systematic(rows: DataFrame, order: list[Column], step: int) -> DataFrame:
     """Every ``step``-th row in the given order, the first included."""
-    return rows.withColumn("_p", F.row_number().over(Window.orderBy(*order))).where((F.col("_p") - 1) % step == 0).drop("_p")
+    return numbered(rows, *order, name="_p").where((F.col("_p") - 1) % step == 0).drop("_p")

@@ -13,6 +13,14 @@ DRAWS, SEED = 10_000, 0
 ALPHAS = (0.1, 1.0, 10.0, 100.0)
 
 
+def analysis_table(table: DataFrame, rows: int = 1_000_000) -> pd.DataFrame:
+    """An analysis table (a row for each cell of a grid) on the driver; larger ones are refused, not cut."""
+    got = table.limit(rows + 1).toPandas()
+    if len(got) > rows:
+        raise ValueError(f"an analysis table of more than {rows} rows isn't one for the driver")
+    return got
+
+
 def bootstrap(values: np.ndarray, draws: int = DRAWS, seed: int = SEED) -> dict:
     """(queries, 8) outcomes -> difference of all on and all off, its 95 % interval, p, and the margin's interval over resampled queries."""
     rng = np.random.default_rng(seed)
@@ -95,7 +103,7 @@ def grouped_validation(table: DataFrame, features: list[str], target: str, holdo
 
     The analysis table (one row per cell of the experiment grid, thousands) is broadcast; each fold is one task.
     """
-    every = table.select(key, holdout, inner, target, *features).toPandas().sort_values(key)
+    every = analysis_table(table.select(key, holdout, inner, target, *features)).sort_values(key)
     held = table.sparkSession.sparkContext.broadcast(every)
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:

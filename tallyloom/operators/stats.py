@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.numeric import smoothed_idf
+from tallyloom.operators.sampling import numbered
 
 
 def feature_stats(features: DataFrame) -> DataFrame:
@@ -87,9 +88,8 @@ def index_diagnostics(features: DataFrame, items: DataFrame) -> DataFrame:
 
 def shuffled_df(feature_rows: DataFrame, seed: str = "0") -> DataFrame:
     """Control: dfs dealt to features anew.  Two orders of the same features, one by feature and one by hash, are joined by position."""
-    position = lambda df, *order: df.withColumn("position", F.row_number().over(Window.orderBy(*order)))
-    features = position(feature_rows.select("feature"), F.col("feature").asc())
-    dfs = position(feature_rows.select("df", F.col("feature").alias("_f")), F.sha2(F.concat(F.lit(seed + ":"), F.col("_f")), 256).asc(), F.col("_f").asc()).select("position", "df")
+    features = numbered(feature_rows.select("feature"), F.col("feature").asc())
+    dfs = numbered(feature_rows.select("df", F.col("feature").alias("_f")), F.sha2(F.concat(F.lit(seed + ":"), F.col("_f")), 256).asc(), F.col("_f").asc()).select("position", "df")
     return features.join(dfs, "position").select("feature", "df")
 
 
