@@ -49,7 +49,7 @@ ADDED = ("_id", "_log_weight", "_key")
 #: Labelled rows (8 bytes and a weight each) up to which they are broadcast.
 BROADCAST_ROWS = 1_000_000
 #: (bucket, weight) pairs that a task gathers before it hands them on.
-GATHERED = 1 << 20
+GATHERED = 1 << 18
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
