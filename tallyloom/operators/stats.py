@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.numeric import smoothed_idf
@@ -26,6 +26,12 @@ def collection_stats(item_rows: DataFrame) -> DataFrame:
     return rows.withColumn("avg_length", F.when(F.col("n_items") > 0, F.col("length_sum") / F.col("n_items")).otherwise(0.0))
 
 
+def collection_of(sums: DataFrame, items: Column, length: Column, nnz: Column) -> DataFrame:
+    """``collection_stats`` from one row of sums."""
+    rows = sums.select(items.alias("n_items"), F.coalesce(length, F.lit(0.0)).alias("length_sum"), F.coalesce(nnz, F.lit(0)).cast("long").alias("nnz_sum"))
+    return rows.withColumn("avg_length", F.when(F.col("n_items") > 0, F.col("length_sum") / F.col("n_items")).otherwise(0.0))
+
+
 def with_idf(feature_rows: DataFrame, collection: DataFrame) -> DataFrame:
     return feature_rows.crossJoin(F.broadcast(collection.select("n_items"))).select("feature", "df", "mass", smoothed_idf(F.col("n_items"), F.col("df")).alias("idf"))
 
