@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.numeric import CONFIGS, K1, B
 from tallyloom.operators.blocks import Best, bounded, loaded, top_of_block
-from tallyloom.operators.search import top_k
 
 #: Queries that a task ranks at once, documents that it scores at once, and features that it counts before it hands them on.
 ASKED, SCORED, COUNTED = 100, 128, 300_000
@@ -133,31 +132,61 @@ def _together(rows: DataFrame, schema: str, parts: list[DataFrame]) -> DataFrame
     return out
 
 
+#: One task's tops of one query, as they are exchanged: the setting's place in ``CONFIGS``, item, score.
+_TOPS = pa.schema([("config", pa.int8()), ("item", pa.string()), ("score", pa.float64())])
+
+
 def best(rows: DataFrame, query_features: list, vocabulary: list[str], known: tuple[int, float, np.ndarray], k: int, k1: float = K1) -> DataFrame:
-    """query, config, item, score, rank: the k best matches of every query under each setting, over the items of ``asked_terms``."""
+    """query, config, item, score, rank: the k best matches of every query under each setting, over the items of ``asked_terms``.
+
+    A task hands on one row a query, with the tops of all settings; these are merged query by query, so no row for each of them is exchanged or sorted.
+    """
     bounded(rows.sparkSession)
-    schema, parts = "query string, config string, item string, score double", []
+    schema, parts = "query string, tops binary", []
 
     def ranking(names, model):
         sent = rows.sparkSession.sparkContext.broadcast((names, model))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, model = loaded(sent)
-            tops = Best(len(CONFIGS) * len(names), k)
+            n, tops = len(names), Best(len(CONFIGS) * len(names), k)
             for items, score, matched in _scored(batches, model, k1):
                 top_of_block(tops, np.array(items.to_pylist(), object), score.reshape(-1, len(items)), np.tile(matched > 0, (len(CONFIGS), 1)))
             group, item, score = tops.result()
-            asked, configs = np.array(names, object), np.array(CONFIGS, object)
-            for i in range(0, len(group), 50_000):
-                g = group[i : i + 50_000]
-                columns = [pa.array(asked[g % len(names)], pa.string()), pa.array(configs[g // len(names)], pa.string()), pa.array(item[i : i + 50_000], pa.string()), pa.array(score[i : i + 50_000])]
-                yield pa.RecordBatch.from_arrays(columns, ["query", "config", "item", "score"])
+            ends = np.searchsorted(group, np.arange(len(CONFIGS) * n + 1))
+            for q in range(n):
+                own = [slice(ends[c * n + q], ends[c * n + q + 1]) for c in range(len(CONFIGS))]
+                config = np.repeat(np.arange(len(CONFIGS), dtype=np.int8), [x.stop - x.start for x in own])
+                if len(config):
+                    packed = pa.record_batch([config, pa.array(np.concatenate([item[x] for x in own]), pa.string()), np.concatenate([score[x] for x in own])], schema=_TOPS)
+                    yield pa.RecordBatch.from_arrays([pa.array([names[q]], pa.string()), pa.array([packed.serialize().to_pybytes()], pa.binary())], ["query", "tops"])
 
         return run
 
     for names, model in _models(query_features, vocabulary, *known):
         parts.append(_dealt(rows).mapInArrow(ranking(names, model), schema))
-    return top_k(_together(rows, schema, parts), k)
+    return _together(rows, schema, parts).groupBy("query").applyInArrow(_merge(k), "query string, config string, item string, score double, rank int")
+
+
+def _merge(k: int):
+    def run(tops: pa.Table) -> pa.Table:
+        rows = pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(x.as_py()), _TOPS) for x in tops["tops"]])
+        config, score = np.asarray(rows["config"]), np.asarray(rows["score"])
+        places, ranks = [], []
+        for c in range(len(CONFIGS)):
+            own = np.flatnonzero(config == c)
+            if len(own) > k:
+                own = own[score[own] >= np.partition(score[own], -k)[-k] - 2e-9]
+            names = np.array(rows["item"].take(pa.array(own)).to_pylist(), object)
+            by_name = np.array(sorted(range(len(own)), key=names.__getitem__), np.int64)
+            own = own[by_name][np.argsort(-np.round(score[own[by_name]], 9), kind="stable")][:k]
+            places.append(own)
+            ranks.append(np.arange(1, len(own) + 1, dtype=np.int32))
+        at = np.concatenate(places)
+        query, name = pa.array([tops["query"][0].as_py()] * len(at), pa.string()), pa.array(np.array(CONFIGS, object)[config[at]], pa.string())
+        return pa.Table.from_arrays([query, name, rows["item"].take(pa.array(at)).combine_chunks(), pa.array(score[at]), pa.array(np.concatenate(ranks))], ["query", "config", "item", "score", "rank"])
+
+    return run
 
 
 def visits(rows: DataFrame, query_features: list, vocabulary: list[str], known: tuple[int, float, np.ndarray]) -> DataFrame:
